@@ -70,7 +70,9 @@ def attribution(campaigns: DataFrame, responses: DataFrame, services: DataFrame,
     """The attribution table: one row per kept (campaign, user) pair."""
     pairs = campaign_pairs(campaigns, responses)
     m = window_matches(pairs, services, params)
-    best_service = m.groupBy(*PAIR).agg(F.min(F.struct(*SERVICE_COLS)).alias("_s"))
+    # earliest service of each pair: start date first, Service_ID breaks ties
+    ranked = ["ServiceStartDate", "Service_ID"] + [c for c in SERVICE_COLS if c not in ("ServiceStartDate", "Service_ID")]
+    best_service = m.groupBy(*PAIR).agg(F.min(F.struct(*ranked)).alias("_s"))
     first_campaign = m.groupBy("User_ID", "Service_ID").agg(
         F.min(F.struct("OutreachDate", "Campaign_ID")).getField("Campaign_ID").alias("_first_campaign"))
     credited = (best_service.select(*PAIR, *[F.col(f"_s.{c}").alias(c) for c in SERVICE_COLS])
