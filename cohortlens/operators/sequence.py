@@ -9,24 +9,27 @@ plans one sort and one exchange for all of them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.config import DEFAULT, Params
 from cohortlens.functions import days_between, first_in_order, money_sum, quantile, ratio, round_half_up
+from cohortlens.operators.ordered import group_window, hot_keys
 
 _ORDER = ("ServiceStartDate", "Seq_ID")
 
 
-def service_cadence(services: DataFrame) -> DataFrame:
+def service_cadence(services: DataFrame, hot: list | None = None) -> DataFrame:
     """One row per service record: days since the user's previous service and
-    the service's ordinal (raw records, no merging)."""
-    w = Window.partitionBy("User_ID").orderBy("ServiceStartDate", "Service_ID")
-    return services.select(
+    the service's ordinal (raw records, no merging). Users with very many
+    records are split over several tasks (``ordered.group_window``)."""
+    g = group_window(services.select("User_ID", "Service_ID", "ServiceStartDate"), "User_ID",
+                     ["ServiceStartDate", "Service_ID"], lag=["ServiceStartDate"],
+                     hot=hot_keys(services, "User_ID") if hot is None else hot)
+    return g.select(
         "User_ID", "Service_ID", "ServiceStartDate",
-        days_between("ServiceStartDate", F.lag("ServiceStartDate").over(w)).alias("Days_Since_Last_Service"),
-        F.row_number().over(w).alias("Service_Quantity"),
-    )
+        days_between("ServiceStartDate", "_prev_ServiceStartDate").alias("Days_Since_Last_Service"),
+        F.col("_rn").alias("Service_Quantity"))
 
 
 def cadence_median(cadence: DataFrame, params: Params = DEFAULT) -> DataFrame:
@@ -36,34 +39,39 @@ def cadence_median(cadence: DataFrame, params: Params = DEFAULT) -> DataFrame:
                  params.approx_accuracy).cast("int").alias("Median_Days_Between_Services"))
 
 
-def merged_services(services: DataFrame) -> DataFrame:
+def merged_services(services: DataFrame, copartition: bool = True) -> DataFrame:
     """Identical (user, start, end, type, channel) records merge into one row
-    with summed fee and counted types. The input is hash-partitioned by user
-    first so the grouping and the following per-user window share one shuffle."""
-    return (services.repartition("User_ID")
-            .groupBy("User_ID", "ServiceStartDate", "ServiceEndDate", "ServiceType", "AccessChannel")
+    with summed fee and counted types. With ``copartition`` the input is
+    hash-partitioned by user first, so the grouping and the following
+    per-user window share one shuffle; without it (hot users present) the
+    grouping shuffles on all five keys and combines partially first."""
+    src = services.repartition("User_ID") if copartition else services
+    return (src.groupBy("User_ID", "ServiceStartDate", "ServiceEndDate", "ServiceType", "AccessChannel")
             .agg(money_sum("ServiceFee").alias("Service_Fee_Sum"),
                  F.count("ServiceType").alias("Services"),
                  F.min("ServiceStartDate").alias("First_Service"),
                  F.min("Service_ID").alias("Seq_ID")))
 
 
-def service_sequence(services: DataFrame) -> DataFrame:
+def service_sequence(services: DataFrame, hot: list | None = None) -> DataFrame:
     """Merged services with their per-user sequence attributes: first type and
     channel, second type, next type and date, gap to the previous service,
     ordinal and a last-service marker."""
-    w = Window.partitionBy("User_ID").orderBy(*_ORDER)
-    m = merged_services(services)
-    return m.select(
-        "*",
-        F.first("ServiceType").over(w).alias("First_Service_Type"),
-        F.first("AccessChannel").over(w).alias("First_Access_Channel"),
-        F.nth_value("ServiceType", 2).over(w).alias("Second_Service_Type"),
-        F.lead("ServiceType").over(w).alias("Next_Service_Type"),
-        F.lead("ServiceStartDate").over(w).alias("Next_Service_Start_Date"),
-        days_between("ServiceStartDate", F.lag("ServiceStartDate").over(w)).alias("Days_Since_Last_Service"),
-        F.row_number().over(w).alias("Service_Quantity"),
-        F.lead(F.lit(1)).over(w).isNull().alias("Is_Last"),
+    hot = hot_keys(services, "User_ID") if hot is None else hot
+    m = merged_services(services, copartition=not hot)
+    g = group_window(m, "User_ID", list(_ORDER), lag=["ServiceStartDate"],
+                     lead=["ServiceType", "ServiceStartDate"], first=["ServiceType", "AccessChannel"],
+                     second=["ServiceType"], hot=hot)
+    return g.select(
+        *m.columns,
+        F.col("_first_ServiceType").alias("First_Service_Type"),
+        F.col("_first_AccessChannel").alias("First_Access_Channel"),
+        F.col("_second_ServiceType").alias("Second_Service_Type"),
+        F.col("_next_ServiceType").alias("Next_Service_Type"),
+        F.col("_next_ServiceStartDate").alias("Next_Service_Start_Date"),
+        days_between("ServiceStartDate", "_prev_ServiceStartDate").alias("Days_Since_Last_Service"),
+        F.col("_rn").alias("Service_Quantity"),
+        F.col("_is_last").alias("Is_Last"),
     )
 
 
