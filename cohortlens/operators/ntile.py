@@ -34,6 +34,17 @@ MAX_RANGES = 1024
 SAMPLE_PER_RANGE = 40
 
 
+def sql_order_key(value):
+    """Python sort key that orders values as Spark's ``ASC NULLS FIRST``:
+    NULL first, NaN above every number, -0.0 equal to 0.0; strings compare
+    by code point, which is Spark's UTF-8 byte order."""
+    if value is None:
+        return (0, 0, 0)
+    if isinstance(value, float):
+        return (1, 1, 0) if math.isnan(value) else (1, 0, value + 0.0)
+    return (1, 0, value)
+
+
 def _key(v: str, id_col: str) -> Column:
     return F.struct(F.col(v).alias("v"), F.col(id_col).alias("i"))
 
@@ -73,13 +84,17 @@ def ntiles(df: DataFrame, specs: list[tuple[str, str]], k: int, id_col: str,
         return base.select("*", *[F.lit(None).cast("int").alias(o) for o, _ in specs])
     ranges = max(min_ranges, min(max_ranges, math.ceil(n / rows_per_range)))
     modulus = max(1, n // (ranges * SAMPLE_PER_RANGE))
-    sample = base.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(modulus)) == 0)
+    # one bounded sample (about SAMPLE_PER_RANGE rows per range) serves every spec
+    value_cols = list(dict.fromkeys(v for _, v in specs))
+    sample = base.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(modulus)) == 0) \
+        .select(id_col, *value_cols).collect()
     itype = base.schema[id_col].dataType
 
     range_cols = []
     for j, (_, v) in enumerate(specs):
         vtype = base.schema[v].dataType
-        keys = sample.select(v, id_col).orderBy(F.col(v).asc_nulls_first(), F.col(id_col).asc_nulls_first()).collect()
+        keys = sorted(((r[v], r[id_col]) for r in sample),
+                      key=lambda kv: (sql_order_key(kv[0]), sql_order_key(kv[1])))
         picks = sorted({len(keys) * i // ranges for i in range(1, ranges)} - {0}) if keys else []
         splits = [_lit_key(keys[p][0], keys[p][1], vtype, itype) for p in picks]
         range_cols.append(_range_of(_key(v, id_col), splits).alias(f"_r{j}"))

@@ -41,12 +41,16 @@ def _sql_in(key: Column, member: Column, facts: Column) -> Column:
 
 def activity_status(users: DataFrame, services: DataFrame, app_usage: DataFrame,
                     labels: dict = REPORT_LABELS, keep: tuple = ("Region", "IncomeBracket")) -> DataFrame:
-    """Report status per user (``NOT IN`` semantics, lower-case labels)."""
+    """Report status per user (``NOT IN`` semantics, lower-case labels).
+    Membership and key facts become columns first, so each scalar subquery
+    occurs once in the plan."""
     u = users.select(_KEY, *keep)
     u = _markers(_markers(u, services, "_in_svc"), app_usage, "_in_app")
+    u = u.select("*", _key_facts(services).alias("_f_svc"), _key_facts(app_usage).alias("_f_app"))
     key = F.col(_KEY)
-    in_svc = _sql_in(key, F.col("_in_svc"), _key_facts(services))
-    in_app = _sql_in(key, F.col("_in_app"), _key_facts(app_usage))
+    u = u.select(_KEY, *keep, _sql_in(key, F.col("_in_svc"), F.col("_f_svc")).alias("_svc"),
+                 _sql_in(key, F.col("_in_app"), F.col("_f_app")).alias("_app"))
+    in_svc, in_app = F.col("_svc"), F.col("_app")
     status = (F.when(~in_app & ~in_svc, STATUS_INACTIVE)
               .when(~in_app & in_svc, labels["services"])
               .when(~in_svc & in_app, labels["app"])

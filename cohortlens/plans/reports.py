@@ -65,18 +65,20 @@ CHURN_COLUMNS = [
 def churn_table(t: Tables, params: Params = DEFAULT, parts: dict | None = None) -> DataFrame:
     """One row per user row: final churn flag, status, service and app churn,
     campaign totals, service summary and app attributes. All inputs are at
-    user grain, so the five left joins never fan out."""
+    user grain, so the left joins never fan out. App churn is derived from the
+    one app-summary join instead of a second pass over the app data."""
     p = parts or churn_parts(t, params)
     ss = p["service_summary"].withColumn("_ss", F.lit(True))
-    app = p["app_summary"].drop("Days_Since_App_Activity").withColumn("_app", F.lit(True))
+    app = p["app_summary"].withColumn("_app", F.lit(True))
     j = (t.users.select("User_ID")
          .join(p["campaign_totals"], "User_ID", "left")
          .join(p["service_churn"], "User_ID", "left")
-         .join(p["app_churn"], "User_ID", "left")
          .join(ss, "User_ID", "left")
          .join(app, "User_ID", "left"))
-    j = j.withColumn("UserStatus", segments.status_from_markers(F.col("_ss").isNotNull(),
-                                                                 F.col("_app").isNotNull(), TABLE_LABELS))
+    has_app = F.col("_app").isNotNull()
+    j = j.select("*", *[F.when(has_app, c) for c in churn.app_churn_columns(params=params)])
+    j = j.toDF(*j.columns[:-2], "App_Churn_Flag", "App_Churn_Level")
+    j = j.withColumn("UserStatus", segments.status_from_markers(F.col("_ss").isNotNull(), has_app, TABLE_LABELS))
     j = j.withColumn("Final_Churn_Flag", churn.final_churn_flag())
     return j.select(*CHURN_COLUMNS)
 

@@ -47,3 +47,11 @@ def test_plan_has_no_single_partition_exchange(spark):
     df = spark.range(2000).select("id", (F.col("id") % 17).alias("v"))
     plan = ntiles(df, [("t", "v")], 5, "id", rows_per_range=200)._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
+
+
+def test_special_doubles_and_strings(spark):
+    vals = [float("nan"), -0.0, 0.0, None, 1.5, -3.0, float("inf"), float("-inf")] * 40
+    df = spark.createDataFrame([(i, v, None if v is None else f"s{v}") for i, v in enumerate(vals)],
+                               "id long, v double, s string")
+    assert _ours(df, "v", 6, rows_per_range=20) == _native(df, "v", 6)
+    assert _ours(df, "s", 4, rows_per_range=20) == _native(df, "s", 4)
