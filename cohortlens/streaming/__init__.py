@@ -1,0 +1,10 @@
+"""Streaming.
+
+The analyses this library reproduces are one-shot batch computations over
+whole tables with a fixed as-of date: there are no event-time windows,
+watermarks, late data or per-key state to carry between micro-batches, so no
+streaming operator is defined. The batch operators are plain DataFrame
+functions and can be applied to each micro-batch of a Structured Streaming
+query (``foreachBatch``) when a deployment refreshes the derived tables on
+arrival of new data.
+"""
