@@ -36,10 +36,10 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     names = os.environ.get("BENCH_QUERIES")
-    names = names.split(",") if names else HEADLINE
     spark = build_session(f"local[{cpus}]", shuffle_partitions=cpus,
                           extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g")})
     qs = catalog.queries()
+    names = sorted(qs) if names == "all" else (names.split(",") if names else HEADLINE)
     # warm-up: JIT, file listing, Python worker start
     qs["null_profile_users"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     timings = {}
