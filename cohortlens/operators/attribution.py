@@ -13,9 +13,10 @@ then ``Service_ID``; outreach date then ``Campaign_ID``.
 Execution:
 
 * the range join is an equi join on ``(User_ID, time bin)`` with bins of
-  ``window + 1`` days; a pair's window touches at most two bins, so the pair
-  side is exploded to them. A user with a long history is thus split into
-  many small join groups instead of comparing all its pairs;
+  ``window + 1`` days; a pair's window touches at most two bins, so each
+  service is offered to its own bin and the one before (the service side is
+  the smaller one). A user with a long history is thus split into many small
+  join groups instead of comparing all its pairs;
 * both "earliest" choices are ``min(struct)`` aggregations, which combine
   partially before the shuffle, so a hot user or campaign does not land in
   one task the way a window partition would;
@@ -52,13 +53,18 @@ def campaign_pairs(campaigns: DataFrame, responses: DataFrame) -> DataFrame:
 
 
 def window_matches(pairs: DataFrame, services: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """(campaign, user, outreach date) x services in the outreach window."""
+    """(campaign, user, outreach date) x services in the outreach window.
+
+    Equi join on (user, bin) with bins of ``window + 1`` days: a pair sits in
+    the bin of its outreach date, and a service starting on day s can only
+    match outreach dates in [s - window, s], which lie in bin(s) - 1 or
+    bin(s). Only the services side (the smaller one) is doubled, and every
+    match is found exactly once."""
     width = params.attribution_days + 1
     odate = F.col("OutreachDate")
-    p = pairs.select(*PAIR, "OutreachDate").select(
-        "*", F.explode(F.array_distinct(F.array(_bin(odate, width), _bin(F.date_add(odate, params.attribution_days),
-                                                                          width)))).alias("_bin"))
-    s = services.select("User_ID", *SERVICE_COLS).withColumn("_bin", _bin(F.col("ServiceStartDate"), width))
+    p = pairs.select(*PAIR, "OutreachDate").withColumn("_bin", _bin(odate, width))
+    sbin = _bin(F.col("ServiceStartDate"), width)
+    s = services.select("User_ID", *SERVICE_COLS).withColumn("_bin", F.explode(F.array(sbin - 1, sbin)))
     start = F.col("ServiceStartDate")
     return (p.join(s, ["User_ID", "_bin"], "inner")
             .where((start >= odate) & (days_between(start, odate) <= params.attribution_days))

@@ -46,10 +46,12 @@ def churn_criteria(cadence: DataFrame, cutoffs: DataFrame, params: Params = DEFA
                     F.when(nxt > days, 0).otherwise(1).alias("Churn_Risk")))
 
 
-def churn_by_customer(services: DataFrame, criteria: DataFrame) -> DataFrame:
+def churn_by_customer(services: DataFrame | None, criteria: DataFrame, totals: DataFrame | None = None) -> DataFrame:
     """Report rule at user level: the churn risk of the service whose ordinal
-    equals the user's count of non-NULL service ids."""
-    totals = services.groupBy("User_ID").agg(F.count("Service_ID").alias("Total_Services"))
+    equals the user's count of non-NULL service ids. ``totals`` (User_ID,
+    Total_Services) may be passed when already computed."""
+    if totals is None:
+        totals = services.groupBy("User_ID").agg(F.count("Service_ID").alias("Total_Services"))
     crit = criteria.select("User_ID", F.col("Service_Quantity").alias("Total_Services"), "Churn_Risk")
     return totals.join(crit, ["User_ID", "Total_Services"], "left").select(
         "User_ID", "Total_Services", "Churn_Risk")

@@ -103,12 +103,12 @@ def service_mix(services: DataFrame) -> DataFrame:
         *[F.count_if(F.col("ServiceType") == t).alias(c) for t, c in TYPE_COLUMNS])
 
 
-def engaged_users(users: DataFrame, services: DataFrame, engagement_totals: DataFrame,
-                  medians: DataFrame, customer_churn: DataFrame, keep: tuple = ("Region", "IncomeBracket")
-                  ) -> DataFrame:
+def engaged_users(users: DataFrame, services: DataFrame | None, engagement_totals: DataFrame,
+                  medians: DataFrame, customer_churn: DataFrame, keep: tuple = ("Region", "IncomeBracket"),
+                  mix: DataFrame | None = None) -> DataFrame:
     """Users with at least one service, with churn risk, campaign engagement,
-    median cadence and service mix."""
-    mix = service_mix(services)
+    median cadence and service mix (``mix`` may be passed precomputed)."""
+    mix = service_mix(services) if mix is None else mix
     return (users.select(_KEY, *keep).join(mix, _KEY, "inner")
             .join(engagement_totals.select(_KEY, "Total_Engagements"), _KEY, "left")
             .join(medians, _KEY, "left")

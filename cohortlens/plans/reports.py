@@ -122,20 +122,27 @@ def churn_truth_table(churn_tbl: DataFrame) -> DataFrame:
 
 
 def report_parts(t: Tables, keep: tuple, params: Params = DEFAULT, persist: bool = True) -> dict:
+    """Intermediates of the segment reports. The cadence rows and the per-user
+    service mix are each computed once and read by several consumers: the mix
+    gives the service-user markers, the key facts of the NOT IN tests, the
+    service counts and the per-user totals of the churn rule."""
     cad = sequence.service_cadence(t.services)
+    mix = segments.service_mix(t.services)
     if persist:
         cad = cad.persist(_KEEP)
+        mix = mix.persist(_KEEP)
     cut = churn.gap_cutoffs(cad, params)
     crit = churn.churn_criteria(cad, cut, params)
-    by_customer = churn.churn_by_customer(t.services, crit)
+    totals = mix.select("User_ID", F.col("Service_Count").alias("Total_Services"))
+    by_customer = churn.churn_by_customer(None, crit, totals=totals)
     medians = sequence.cadence_median(cad, params)
-    totals = t.responses.groupBy("User_ID").agg(F.sum("EngagementCount").alias("Total_Engagements"))
+    eng_totals = t.responses.groupBy("User_ID").agg(F.sum("EngagementCount").alias("Total_Engagements"))
     users = segments.with_age_bracket(t.users) if "Age_Bracket" in keep else t.users
-    status = segments.activity_status(users, t.services, t.app_usage, REPORT_LABELS, keep)
+    status = segments.activity_status(users, mix, t.app_usage, REPORT_LABELS, keep)
     flags = segments.activity_flags(status, keep)
-    engaged = segments.engaged_users(users, t.services, totals, medians, by_customer, keep)
+    engaged = segments.engaged_users(users, None, eng_totals, medians, by_customer, keep, mix=mix)
     return {"cadence": cad, "cutoffs": cut, "criteria": crit, "by_customer": by_customer, "medians": medians,
-            "totals": totals, "status": status, "flags": flags, "engaged": engaged}
+            "totals": eng_totals, "status": status, "flags": flags, "engaged": engaged, "mix": mix}
 
 
 def region_report(t: Tables, params: Params = DEFAULT, ordered: bool = True) -> DataFrame:
