@@ -103,20 +103,28 @@ def service_mix(services: DataFrame) -> DataFrame:
         *[F.count_if(F.col("ServiceType") == t).alias(c) for t, c in TYPE_COLUMNS])
 
 
+def engagement_core(engagement_totals: DataFrame, medians: DataFrame, customer_churn: DataFrame,
+                    mix: DataFrame) -> DataFrame:
+    """Per service user: churn risk, campaign engagement, median cadence and
+    service mix (all inputs at user grain, aligned on the user partitioning)."""
+    return (mix.join(engagement_totals.select(_KEY, "Total_Engagements"), _KEY, "left")
+            .join(medians, _KEY, "left")
+            .join(customer_churn.select(_KEY, "Churn_Risk"), _KEY, "left")
+            .select(_KEY, "Churn_Risk",
+                    F.coalesce("Total_Engagements", F.lit(0)).alias("Total_Campaign_Engagements"),
+                    "Median_Days_Between_Services", "Service_Count", *[c for _, c in TYPE_COLUMNS]))
+
+
 def engaged_users(users: DataFrame, services: DataFrame | None, engagement_totals: DataFrame,
                   medians: DataFrame, customer_churn: DataFrame, keep: tuple = ("Region", "IncomeBracket"),
                   mix: DataFrame | None = None) -> DataFrame:
-    """Users with at least one service, with churn risk, campaign engagement,
-    median cadence and service mix (``mix`` may be passed precomputed)."""
+    """Users with at least one service, with their segment keys, churn risk,
+    campaign engagement, median cadence and service mix (``mix`` may be
+    passed precomputed)."""
     mix = service_mix(services) if mix is None else mix
-    return (users.select(_KEY, *keep).join(mix, _KEY, "inner")
-            .join(engagement_totals.select(_KEY, "Total_Engagements"), _KEY, "left")
-            .join(medians, _KEY, "left")
-            .join(customer_churn.select(_KEY, "Churn_Risk"), _KEY, "left")
-            .select(_KEY, *keep, "Churn_Risk",
-                    F.coalesce("Total_Engagements", F.lit(0)).alias("Total_Campaign_Engagements"),
-                    "Median_Days_Between_Services", "Service_Count",
-                    *[c for _, c in TYPE_COLUMNS]))
+    core = engagement_core(engagement_totals, medians, customer_churn, mix)
+    return users.select(_KEY, *keep).join(core, _KEY, "inner").select(
+        _KEY, *keep, *[c for c in core.columns if c != _KEY])
 
 
 _FLAGS = (("Total_User", "Total_Users", None),
@@ -131,9 +139,11 @@ def segment_report(flags: DataFrame, engaged: DataFrame, by: list, rename: dict
                    status_shares: bool = False, params: Params = DEFAULT) -> DataFrame:
     """Per segment: user counts by status, average engagement and services,
     median of per-user median cadence, churn proportion (service-user churners
-    over all active users) and service-type shares."""
+    over all active users) and service-type shares. ``engaged`` may be the
+    per-user core without segment keys: the left join from the flags (one row
+    per user of the users table) supplies the keys and drops unknown users."""
     rename = rename or {}
-    eng = engaged.drop(*by)
+    eng = engaged.drop(*[c for c in by if c in engaged.columns])
     aggs = []
     for src, out, share in _FLAGS:
         aggs.append(F.sum(src).alias(out))

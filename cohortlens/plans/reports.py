@@ -141,20 +141,21 @@ def report_parts(t: Tables, keep: tuple, params: Params = DEFAULT, persist: bool
     status = segments.activity_status(users, mix, t.app_usage, REPORT_LABELS, keep)
     flags = segments.activity_flags(status, keep)
     engaged = segments.engaged_users(users, None, eng_totals, medians, by_customer, keep, mix=mix)
-    return {"cadence": cad, "cutoffs": cut, "criteria": crit, "by_customer": by_customer, "medians": medians,
+    core = segments.engagement_core(eng_totals, medians, by_customer, mix)
+    return {"core": core, "cadence": cad, "cutoffs": cut, "criteria": crit, "by_customer": by_customer, "medians": medians,
             "totals": eng_totals, "status": status, "flags": flags, "engaged": engaged, "mix": mix}
 
 
 def region_report(t: Tables, params: Params = DEFAULT, ordered: bool = True) -> DataFrame:
     p = report_parts(t, ("Region", "IncomeBracket"), params)
-    rep = segments.segment_report(p["flags"], p["engaged"], ["Region", "IncomeBracket"],
+    rep = segments.segment_report(p["flags"], p["core"], ["Region", "IncomeBracket"],
                                   {"IncomeBracket": "Income_Bracket"}, params=params)
     return segments.order_region_report(rep) if ordered else rep
 
 
 def age_report(t: Tables, params: Params = DEFAULT, ordered: bool = True) -> DataFrame:
     p = report_parts(t, ("Age_Bracket",), params)
-    rep = segments.segment_report(p["flags"], p["engaged"], ["Age_Bracket"], status_shares=True, params=params)
+    rep = segments.segment_report(p["flags"], p["core"], ["Age_Bracket"], status_shares=True, params=params)
     return rep.orderBy(F.col("Age_Bracket").asc_nulls_first()) if ordered else rep
 
 
