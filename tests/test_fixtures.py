@@ -205,3 +205,33 @@ def test_round_half_up(spark):
     from cohortlens.functions import round_half_up
     df = spark.createDataFrame([(0.285,), (1.005,), (-0.125,)], "x double")
     assert [r.y for r in df.select(round_half_up("x", 2).alias("y")).collect()] == [0.29, 1.01, -0.13]
+
+
+def test_null_service_id_moves_last_service_earlier(spark):
+    # COUNT(Service_ID) skips the NULL id, so the report judges ordinal 2 of 3
+    t = make_tables(spark, services=[svc(1, 1, "2025-01-01"), svc(1, 2, "2025-01-11"),
+                                     (1, None, D("2025-08-30"), None, 1.0, "Vaccination", "Direct Digital"),
+                                     svc(2, 3, "2025-01-01"), svc(2, 4, "2025-01-31"), svc(2, 5, "2025-02-10")])
+    cad = sequence.service_cadence(t.services)
+    crit = churn.churn_criteria(cad, churn.gap_cutoffs(cad))
+    r = by_user(churn.churn_by_customer(t.services, crit))
+    assert r[1].Total_Services == 2
+    # ordinal 2 of user 1 starts 2025-01-11 (232 days before the as-of date); the cutoff of
+    # ordinal 3 is the 75th percentile of {10, 231} = 231, not above 232 -> churn risk 1
+    assert r[1].Churn_Risk == 1
+
+
+def test_approximate_quantiles_agree_on_small_groups(spark):
+    t = make_tables(spark, services=[svc(u, u * 10 + i, f"2025-0{1 + i}-0{1 + u}") for u in range(1, 6)
+                                     for i in range(4)])
+    seq = sequence.service_sequence(t.services)
+    exact = sorted(churn.gap_cutoffs(seq).collect())
+    approx = sorted(churn.gap_cutoffs(seq, DEFAULT.with_(exact_quantiles=False)).collect())
+    assert exact == approx
+
+
+def test_cluster_conf_sizes_partitions():
+    from cohortlens.session import cluster_conf
+    conf = cluster_conf(100 << 40, 8000)
+    assert int(conf["spark.sql.shuffle.partitions"]) == 409600
+    assert int(cluster_conf(1 << 30, 8)["spark.sql.shuffle.partitions"]) == 24
