@@ -47,8 +47,11 @@ def campaign_pairs(campaigns: DataFrame, responses: DataFrame) -> DataFrame:
     """One row per (campaign, user) response joined to its campaign; pairs of
     unknown campaigns drop out (inner join). Duplicate responses of a pair
     collapse to one row (the reference keeps one row per pair)."""
-    r = responses.groupBy(*PAIR).agg(F.min(F.struct(*RESPONSE_COLS)).alias("_r"))
-    r = r.select(*PAIR, *[F.col(f"_r.{c}").alias(c) for c in RESPONSE_COLS])
+    # one whole response row per pair: every column is taken at the smallest
+    # hash of the row's values; a fixed-width key keeps this a partial hash
+    # aggregation (a struct minimum would sort the whole response table)
+    h = F.xxhash64(*RESPONSE_COLS)
+    r = responses.groupBy(*PAIR).agg(*[F.min_by(c, h).alias(c) for c in RESPONSE_COLS])
     return campaigns.select(*CAMPAIGN_COLS).join(r, "Campaign_ID", "inner")
 
 
