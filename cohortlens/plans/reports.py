@@ -90,9 +90,13 @@ def history_text(col: str = "All_Service_Types"):
 
 
 def status_share(churn_tbl: DataFrame) -> DataFrame:
-    total = churn_tbl.select(F.count(F.lit(1))).scalar()
-    return churn_tbl.groupBy("UserStatus").agg(F.count(F.lit(1)).alias("Users")).select(
-        "UserStatus", "Users", round_half_up(ratio(F.col("Users"), total), 4).alias("Share"))
+    """Users and share per status. The total is a window over the (at most
+    four) grouped rows, so the churn table is computed once."""
+    from pyspark.sql import Window
+
+    g = churn_tbl.groupBy("UserStatus").agg(F.count(F.lit(1)).alias("Users"))
+    total = F.sum("Users").over(Window.partitionBy(F.lit(0)))
+    return g.select("UserStatus", "Users", round_half_up(ratio(F.col("Users"), total), 4).alias("Share"))
 
 
 def status_profile(churn_tbl: DataFrame) -> DataFrame:
