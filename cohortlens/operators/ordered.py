@@ -41,10 +41,13 @@ SAMPLE_PER_PART = 20
 _HOT_CACHE: dict[tuple, list[tuple]] = {}
 
 
-def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS, max_hot: int = MAX_HOT) -> list[tuple]:
-    """(key, rows) of the heaviest keys above ``hot_rows`` rows, at most
-    ``max_hot`` of them (partial aggregation, a few rows to the driver).
-    Remembered per plan, so several consumers of one input pay once."""
+def hot_keys(df: DataFrame, key: str, hot_rows: int | None = None, max_hot: int | None = None) -> list[tuple]:
+    """(key, rows) of the heaviest keys above ``hot_rows`` rows (default
+    ``HOT_ROWS``), at most ``max_hot`` (default ``MAX_HOT``) of them: partial
+    aggregation, a few rows to the driver. Remembered per plan, so several
+    consumers of one input pay once."""
+    hot_rows = HOT_ROWS if hot_rows is None else hot_rows
+    max_hot = MAX_HOT if max_hot is None else max_hot
     memo = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), key, hot_rows, max_hot)
     if memo not in _HOT_CACHE:
         _HOT_CACHE[memo] = _hot_keys(df, key, hot_rows, max_hot)
