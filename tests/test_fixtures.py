@@ -3,7 +3,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import D, app_row, make_tables, svc, user
 from cohortlens.config import DEFAULT
