@@ -61,7 +61,10 @@ def service_churn(seq: DataFrame, cutoffs: DataFrame, params: Params = DEFAULT)
     """Table rule per user, judged on the user's last service: binary flag
     and Low/Medium/High level. The average cutoff is a scalar subquery."""
     avg_cut = cutoffs.select(F.avg("P75_Gap")).scalar()
-    last = seq.where(F.col("Is_Last")).select("User_ID", "ServiceStartDate", "Service_Quantity")
+    # the reference finds the last service through an equi join on User_ID,
+    # which drops services without a user
+    last = seq.where(F.col("Is_Last") & F.col("User_ID").isNotNull()).select(
+        "User_ID", "ServiceStartDate", "Service_Quantity")
     days = days_between(as_date(params.service_as_of), "ServiceStartDate")
     cut = F.col("Cutoff")
     level_cut = F.coalesce(cut.cast("double"), avg_cut)

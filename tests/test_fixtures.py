@@ -234,3 +234,14 @@ def test_cluster_conf_sizes_partitions():
     conf = cluster_conf(100 << 40, 8000)
     assert int(conf["spark.sql.shuffle.partitions"]) == 409600
     assert int(cluster_conf(1 << 30, 8)["spark.sql.shuffle.partitions"]) == 24
+
+
+def test_services_without_user(spark):
+    t = make_tables(spark, users=[user(1)], services=[svc(1, 1, "2025-01-01"), svc(None, 2, "2025-02-01"),
+                                                      svc(None, 3, "2025-03-01")])
+    seq = sequence.service_sequence(t.services)
+    cut = {r.Service_Quantity: r.P75_Gap for r in churn.gap_cutoffs(seq).collect()}
+    assert cut == {1: None, 2: 28}             # the user-less group still shapes the cutoffs
+    assert [r.User_ID for r in churn.service_churn(seq, churn.gap_cutoffs(seq)).collect()] == [1]
+    ct = reports.churn_table(t).collect()
+    assert len(ct) == 1 and ct[0].User_ID == 1
