@@ -1,6 +1,7 @@
 import datetime as dt
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -13,7 +14,9 @@ from cohortlens.sources.tables import Tables  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    s = build_session("local[4]", shuffle_partitions=8, app_name="cohortlens-tests")
+    warehouse = tempfile.mkdtemp(prefix="cohortlens-warehouse-", dir=os.environ.get("TMPDIR", "/tmp"))
+    s = build_session("local[4]", shuffle_partitions=8, app_name="cohortlens-tests",
+                      extra={"spark.sql.warehouse.dir": warehouse})
     yield s
     s.stop()
 

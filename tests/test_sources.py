@@ -66,3 +66,21 @@ def test_create_table_as_fails_when_present(spark, tmp_path):
     with pytest.raises(Exception):
         sinks.create_table_as(df, path)
     assert spark.read.parquet(path).count() == 3
+
+
+def test_bucketed_user_tables_join_without_shuffle(spark):
+    from cohortlens.config import TESTDATA
+    from cohortlens.plans import reports
+    t = testdata.load(spark, "/root/testdata/sf0.001")
+    sinks.save_as_table(reports.churn_table(t, TESTDATA).drop("All_Service_Types"), "churn_b", mode="overwrite",
+                        bucket_by=(8, "User_ID"))
+    sinks.save_as_table(reports.rfm_table(t, TESTDATA), "rfm_b", mode="overwrite", bucket_by=(8, "User_ID"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        j = spark.table("churn_b").join(spark.table("rfm_b").drop("UserStatus", "Total_Service_Fee",
+                                                                 "Total_Number_of_Services"), "User_ID")
+        plan = j._jdf.queryExecution().executedPlan().toString()
+        assert j.count() == t.users.count()
+        assert "Exchange" not in plan and "SortMergeJoin" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
