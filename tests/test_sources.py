@@ -84,3 +84,15 @@ def test_bucketed_user_tables_join_without_shuffle(spark):
         assert "Exchange" not in plan and "SortMergeJoin" in plan
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_parquet_tables_round_trip(spark, tmp_path):
+    from cohortlens.config import TESTDATA
+    from cohortlens.plans import reports
+    t = testdata.load(spark, "/root/testdata/sf0.001")
+    for name, df in t.as_dict().items():
+        sinks.create_table_as(df, str(tmp_path / name))
+    back = files.read_parquet_tables(spark, str(tmp_path))
+    key = lambda df: sorted(tuple(repr(v) for v in r) for r in df.collect())
+    ct = lambda x: reports.churn_table(x, TESTDATA).withColumn("All_Service_Types", reports.history_text())
+    assert key(ct(back)) == key(ct(t))
