@@ -7,6 +7,8 @@ does not share a common sub-plan whose consumers prune different columns.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -175,8 +177,13 @@ def app_adoption_by_age(t: Tables) -> DataFrame:
 
 
 def rfm_parts(t: Tables, params: Params = DEFAULT, **ntile_kw) -> dict:
-    return {"service": scoring.rfm_service(t.services, params, **ntile_kw),
-            "app": scoring.rfm_app(t.app_usage, params, **ntile_kw)}
+    """Both RFM models. Their n-tiles run a few small preparatory jobs each
+    (count, sample, range sizes); the two models are independent, so their
+    jobs are submitted from two driver threads and overlap."""
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        svc = pool.submit(scoring.rfm_service, t.services, params, **ntile_kw)
+        app = pool.submit(scoring.rfm_app, t.app_usage, params, **ntile_kw)
+        return {"service": svc.result(), "app": app.result()}
 
 
 def rfm_table(t: Tables, params: Params = DEFAULT, ordered: bool = False, **ntile_kw) -> DataFrame:
