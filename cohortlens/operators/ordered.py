@@ -29,7 +29,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.operators.ntile import _range_of
+from cohortlens.operators.ntile import _range_of, sql_order_key
 
 HOT_ROWS = 2_000_000
 ROWS_PER_PART = 1_000_000
@@ -82,8 +82,9 @@ def group_window(df: DataFrame, key: str, order: list[str], lag: list[str] = (),
     is_hot = F.col(key).isin(hot_ids)
     sort_key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate([key, *order])])
     modulus = max(1, hot_total // (parts * SAMPLE_PER_PART))
-    sample = (df.where(is_hot & (F.pmod(F.xxhash64(*[F.col(c) for c in [key, *order]]), F.lit(modulus)) == 0))
-              .select(sort_key.alias("s")).orderBy("s").collect())
+    rows = (df.where(is_hot & (F.pmod(F.xxhash64(*[F.col(c) for c in [key, *order]]), F.lit(modulus)) == 0))
+            .select(sort_key.alias("s")).collect())
+    sample = sorted(rows, key=lambda r: tuple(sql_order_key(v) for v in r["s"]))
     picks = sorted({len(sample) * i // parts for i in range(1, parts)} - {0}) if sample else []
     types = [df.schema[c].dataType for c in [key, *order]]
     splits = [F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(sample[p]["s"], types))])
