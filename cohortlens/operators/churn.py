@@ -93,18 +93,19 @@ def app_summary(app_usage: DataFrame, params: Params = DEFAULT) -> DataFrame:
         "*", days_between(as_date(params.app_as_of), "LastServiceDate").alias("Days_Since_App_Activity"))
 
 
-def app_churn_columns(days="Days_Since_App_Activity", params: Params = DEFAULT) -> list:
-    """App_Churn_Flag and App_Churn_Level from days since the last app activity."""
+def app_churn_columns(days="Days_Since_App_Activity", params: Params = DEFAULT) -> dict:
+    """{name: expression} of App_Churn_Flag and App_Churn_Level from days
+    since the last app activity."""
     d = F.col(days) if isinstance(days, str) else days
-    return [F.when(d > params.app_high_days, 1).otherwise(0).alias("App_Churn_Flag"),
-            F.when(d > params.app_high_days, "High").when(d > params.app_medium_days, "Medium")
-             .otherwise("Low").alias("App_Churn_Level")]
+    return {"App_Churn_Flag": F.when(d > params.app_high_days, 1).otherwise(0),
+            "App_Churn_Level": F.when(d > params.app_high_days, "High")
+                                .when(d > params.app_medium_days, "Medium").otherwise("Low")}
 
 
 def app_churn(app_usage: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Fixed-threshold app churn per app user."""
-    return app_summary(app_usage, params).select("User_ID", "Days_Since_App_Activity",
-                                                 *app_churn_columns(params=params))
+    cols = [e.alias(n) for n, e in app_churn_columns(params=params).items()]
+    return app_summary(app_usage, params).select("User_ID", "Days_Since_App_Activity", *cols)
 
 
 def campaign_totals(responses: DataFrame) -> DataFrame:

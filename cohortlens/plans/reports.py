@@ -78,8 +78,7 @@ def churn_table(t: Tables, params: Params = DEFAULT, parts: dict | None = None)
          .join(ss, "User_ID", "left")
          .join(app, "User_ID", "left"))
     has_app = F.col("_app").isNotNull()
-    j = j.select("*", *[F.when(has_app, c) for c in churn.app_churn_columns(params=params)])
-    j = j.toDF(*j.columns[:-2], "App_Churn_Flag", "App_Churn_Level")
+    j = j.select("*", *[F.when(has_app, e).alias(n) for n, e in churn.app_churn_columns(params=params).items()])
     j = j.withColumn("UserStatus", segments.status_from_markers(F.col("_ss").isNotNull(), has_app, TABLE_LABELS))
     j = j.withColumn("Final_Churn_Flag", churn.final_churn_flag())
     return j.select(*CHURN_COLUMNS)
