@@ -26,11 +26,13 @@ Execution:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.config import DEFAULT, Params
 from cohortlens.functions import days_between, quantile, ratio, round_half_up
+from cohortlens.operators.ordered import group_window, hot_keys
 
 PAIR = ["Campaign_ID", "User_ID"]
 CAMPAIGN_COLS = ["Campaign_ID", "OutreachType", "OutreachDate", "OutreachBudget", "TargetSegment"]
@@ -94,19 +96,24 @@ def attribution(campaigns: DataFrame, responses: DataFrame, services: DataFrame,
 
 def attribution_base(campaigns: DataFrame, responses: DataFrame, services: DataFrame,
                      params: Params = DEFAULT) -> DataFrame:
-    """Every joined row before the filter, with both ranks, as the reference
-    defines them (for inspection of the attribution step)."""
+    """Every joined row before the filter, with both ranks as the reference
+    defines them (for inspection of the attribution step). The ranks are
+    per-group row numbers that split hot groups over several tasks
+    (``ordered.group_window``): all unmatched pairs of one user share the
+    (user, NULL service) group, which is large for a heavy user."""
     pairs = campaigns.select(*CAMPAIGN_COLS).join(responses.select(*PAIR, *RESPONSE_COLS), "Campaign_ID")
     keys = pairs.select(*PAIR, "OutreachDate").distinct()
     m = window_matches(keys, services, params).drop("OutreachDate")
-    rows = pairs.join(m, PAIR, "left")
-    w1 = Window.partitionBy(*PAIR).orderBy(F.col("ServiceStartDate").asc_nulls_first(),
-                                           F.col("Service_ID").asc_nulls_first())
-    w2 = Window.partitionBy("User_ID", "Service_ID").orderBy("OutreachDate", "Campaign_ID")
-    return rows.select(*CAMPAIGN_COLS, "User_ID", *RESPONSE_COLS, *SERVICE_COLS,
-                       F.when(F.col("Service_ID").isNotNull(), 1).otherwise(0).alias("Converted"),
-                       F.row_number().over(w1).alias("Campaign_Service_Rank"),
-                       F.row_number().over(w2).alias("User_Service_Rank"))
+    rows = pairs.join(m, PAIR, "left").withColumn(
+        "Converted", F.when(F.col("Service_ID").isNotNull(), 1).otherwise(0))
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)   # read by two hot-key counts and the result
+    r1 = group_window(rows, PAIR, ["ServiceStartDate", "Service_ID"]).select(
+        *rows.columns, F.col("_rn").alias("Campaign_Service_Rank"))
+    r2 = group_window(r1, ["User_ID", "Service_ID"], ["OutreachDate", "Campaign_ID"],
+                      hot=hot_keys(rows, ["User_ID", "Service_ID"])).select(
+        *r1.columns, F.col("_rn").alias("User_Service_Rank"))
+    return r2.select(*CAMPAIGN_COLS, "User_ID", *RESPONSE_COLS, *SERVICE_COLS, "Converted",
+                     "Campaign_Service_Rank", "User_Service_Rank")
 
 
 def conversions_by_type(attr: DataFrame) -> DataFrame:

@@ -41,72 +41,97 @@ SAMPLE_PER_PART = 20
 _HOT_CACHE: dict[tuple, list[tuple]] = {}
 
 
-def hot_keys(df: DataFrame, key: str, hot_rows: int | None = None, max_hot: int | None = None) -> list[tuple]:
-    """(key, rows) of the heaviest keys above ``hot_rows`` rows (default
-    ``HOT_ROWS``), at most ``max_hot`` (default ``MAX_HOT``) of them: partial
-    aggregation, a few rows to the driver. Remembered per plan, so several
-    consumers of one input pay once."""
+def _keys(key) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def hot_keys(df: DataFrame, key, hot_rows: int | None = None, max_hot: int | None = None) -> list[tuple]:
+    """(key value, rows) of the heaviest keys above ``hot_rows`` rows
+    (default ``HOT_ROWS``), at most ``max_hot`` (default ``MAX_HOT``) of them:
+    partial aggregation, a few rows to the driver. ``key`` is a column name
+    or a list of names (then the value is a tuple; NULL is a value). Remembered
+    per plan, so several consumers of one input pay once."""
     hot_rows = HOT_ROWS if hot_rows is None else hot_rows
     max_hot = MAX_HOT if max_hot is None else max_hot
-    memo = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), key, hot_rows, max_hot)
+    memo = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), tuple(_keys(key)), hot_rows, max_hot)
     if memo not in _HOT_CACHE:
         _HOT_CACHE[memo] = _hot_keys(df, key, hot_rows, max_hot)
     return _HOT_CACHE[memo]
 
 
-def _hot_keys(df: DataFrame, key: str, hot_rows: int, max_hot: int) -> list[tuple]:
-    rows = (df.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > hot_rows)
-            .orderBy(F.col("count").desc(), F.col(key)).limit(max_hot).collect())
-    return [(r[key], r["count"]) for r in rows]
+def _hot_keys(df: DataFrame, key, hot_rows: int, max_hot: int) -> list[tuple]:
+    ks = _keys(key)
+    rows = (df.groupBy(*ks).count().where(F.col("count") > hot_rows)
+            .orderBy(F.col("count").desc(), *ks).limit(max_hot).collect())
+    if isinstance(key, str):
+        return [(r[key], r["count"]) for r in rows]
+    return [(tuple(r[k] for k in ks), r["count"]) for r in rows]
+
+
+def _key_struct(cols: list[str]) -> Column:
+    return F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(cols)])
+
+
+def _lit_struct(values, types) -> Column:
+    return F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(values, types))])
 
 
-def group_window(df: DataFrame, key: str, order: list[str], lag: list[str] = (), lead: list[str] = (),
+def group_window(df: DataFrame, key, order: list[str], lag: list[str] = (), lead: list[str] = (),
                  first: list[str] = (), second: list[str] = (), hot: list[tuple] | None = None,
-                 rows_per_part: int = ROWS_PER_PART, max_parts: int = MAX_PARTS) -> DataFrame:
+                 rows_per_part: int | None = None, max_parts: int | None = None) -> DataFrame:
     """Add ``_rn`` (1-based position in the key's order), ``_prev_<c>`` /
     ``_next_<c>`` (previous / next row's value), ``_first_<c>`` (first row's
     value), ``_second_<c>`` (second row's value, NULL on the first row, as
     ``NTH_VALUE(c, 2)`` with the default frame) and ``_is_last``.
 
-    ``order`` must be unique within a key. ``hot`` is the output of
-    ``hot_keys``; ``None`` detects them, ``[]`` skips splitting."""
+    ``key`` is a column name or a list of names (a NULL key value is a group
+    of its own, as in ``PARTITION BY``). ``order`` should be unique within a
+    key; rows tied on it are numbered in an unspecified order, as in SQL.
+    ``hot`` is the output of ``hot_keys``; ``None`` detects them, ``[]`` skips
+    splitting."""
+    ks = _keys(key)
+    rows_per_part = ROWS_PER_PART if rows_per_part is None else rows_per_part
+    max_parts = MAX_PARTS if max_parts is None else max_parts
     if hot is None:
         hot = hot_keys(df, key)
     if not hot:
-        w = Window.partitionBy(key).orderBy(*order)
+        w = Window.partitionBy(*ks).orderBy(*order)
         return df.select("*", *_window_cols(w, lag, lead, first, second, final=True))
 
-    hot_ids = [h[0] for h in hot]
+    key_types = [df.schema[c].dataType for c in ks]
+    hot_values = [h[0] if isinstance(key, str) else h[0] for h in hot]
     hot_total = sum(h[1] for h in hot)
     parts = max(2, min(max_parts, math.ceil(hot_total / rows_per_part)))
-    is_hot = F.col(key).isin(hot_ids)
-    sort_key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate([key, *order])])
+    # struct membership treats NULL fields as equal, so a NULL key can be hot
+    is_hot = _key_struct(ks).isin([_lit_struct([v] if isinstance(key, str) else v, key_types)
+                                   for v in hot_values])
+    sort_cols = [*ks, *order]
+    sort_key = _key_struct(sort_cols)
     modulus = max(1, hot_total // (parts * SAMPLE_PER_PART))
-    rows = (df.where(is_hot & (F.pmod(F.xxhash64(*[F.col(c) for c in [key, *order]]), F.lit(modulus)) == 0))
+    rows = (df.where(is_hot & (F.pmod(F.xxhash64(*[F.col(c) for c in sort_cols]), F.lit(modulus)) == 0))
             .select(sort_key.alias("s")).collect())
     sample = sorted(rows, key=lambda r: tuple(sql_order_key(v) for v in r["s"]))
     picks = sorted({len(sample) * i // parts for i in range(1, parts)} - {0}) if sample else []
-    types = [df.schema[c].dataType for c in [key, *order]]
-    splits = [F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(sample[p]["s"], types))])
-              for p in picks]
+    types = [df.schema[c].dataType for c in sort_cols]
+    splits = [_lit_struct(sample[p]["s"], types) for p in picks]
     x = df.withColumn("_part", F.when(is_hot, _range_of(sort_key, splits) + 1).otherwise(F.lit(0)))
 
-    w = Window.partitionBy(key, "_part").orderBy(*order)
+    w = Window.partitionBy(*ks, "_part").orderBy(*order)
     win = x.select("*", *_window_cols(w, lag, lead, first, second, final=False))
 
     # per hot part: size, first row, second row, last row
     first_fields = sorted(set(order) | set(lead) | set(first) | set(second))
     last_fields = sorted(set(order) | set(lag))
     row = lambda cols: F.struct(*[F.col(c).alias(c) for c in cols])
-    b = win.where(F.col("_part") > 0).groupBy(key, "_part").agg(
+    b = win.where(F.col("_part") > 0).groupBy(*ks, "_part").agg(
         F.count(F.lit(1)).alias("_n"),
         F.max(F.when(F.col("_w_rn") == 1, row(first_fields))).alias("_head"),
         F.max(F.when(F.col("_w_rn") == 2, row(first_fields))).alias("_head2"),
         F.max(F.when(F.col("_w_last"), row(last_fields))).alias("_tail"))
-    wb = Window.partitionBy(key).orderBy("_part")
+    wb = Window.partitionBy(*ks).orderBy("_part")
     whole = wb.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     fix = b.select(
-        key, "_part",
+        *[F.col(c).alias(f"_fk_{c}") for c in ks], F.col("_part").alias("_fk_part"),
         F.coalesce(F.sum("_n").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
         F.lag("_tail").over(wb).alias("_prev_tail"),
         F.lead("_head").over(wb).alias("_next_head"),
@@ -114,7 +139,10 @@ def group_window(df: DataFrame, key: str, order: list[str], lag: list[str] = (),
         F.when(F.first("_n").over(whole) >= 2, F.first("_head2").over(whole))
          .otherwise(F.nth_value(F.col("_head"), 2).over(whole)).alias("_g_second"),
         F.lead("_part").over(wb).isNull().alias("_g_last_part"))
-    j = win.join(F.broadcast(fix), [key, "_part"], "left")   # bounded: <= parts + hot keys rows
+    cond = F.col("_part") == F.col("_fk_part")
+    for c in ks:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_fk_{c}"))
+    j = win.join(F.broadcast(fix), cond, "left")   # bounded: <= parts + hot keys rows
 
     hot_row = F.col("_g_head").isNotNull()
     rn = (F.coalesce(F.col("_off"), F.lit(0)) + F.col("_w_rn")).cast("int")
@@ -132,7 +160,7 @@ def group_window(df: DataFrame, key: str, order: list[str], lag: list[str] = (),
                    .otherwise(F.col(f"_w_second_{c}")).alias(f"_second_{c}"))
     out.append(F.when(hot_row, F.col("_w_last") & F.col("_g_last_part")).otherwise(F.col("_w_last"))
                .alias("_is_last"))
-    return j.select(*df.columns, *out)
+    return j.select(*[df[c] for c in df.columns], *out)
 
 
 def _window_cols(w, lag, lead, first, second, final: bool) -> list[Column]:

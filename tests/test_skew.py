@@ -42,3 +42,18 @@ def test_hot_user_split_matches_plain(spark, skewed, monkeypatch):
     assert ordered.hot_keys(skewed.services, "User_ID")[0][0] == 1
     split = {k: _rows(v) for k, v in _build(skewed).items()}
     assert split == plain
+
+
+def test_attribution_ranks_split_matches_plain(spark, monkeypatch):
+    from cohortlens.operators import attribution
+    t = testdata.load(spark, "/root/testdata/sf0.01")
+    build = lambda: attribution.attribution_base(t.campaigns, t.responses, t.services, TESTDATA)
+    monkeypatch.setattr(ordered, "HOT_ROWS", 10 ** 12)
+    plain = _rows(build())
+    spark.catalog.clearCache()
+    monkeypatch.setattr(ordered, "HOT_ROWS", 25)      # users with many unmatched pairs become hot
+    monkeypatch.setattr(ordered, "ROWS_PER_PART", 40)
+    split_df = build()
+    unmatched = split_df.where("Service_ID IS NULL").select("User_ID", "Service_ID")
+    assert ordered.hot_keys(unmatched, ["User_ID", "Service_ID"], hot_rows=25)   # (user, NULL) groups are hot
+    assert _rows(split_df) == plain
