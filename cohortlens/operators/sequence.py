@@ -19,17 +19,18 @@ from cohortlens.operators.ordered import group_window, hot_keys
 _ORDER = ("ServiceStartDate", "Seq_ID")
 
 
-def service_cadence(services: DataFrame, hot: list | None = None) -> DataFrame:
+def service_cadence(services: DataFrame, hot: list | None = None, carry: tuple = ()) -> DataFrame:
     """One row per service record: days since the user's previous service and
     the service's ordinal (raw records, no merging). Users with very many
-    records are split over several tasks (``ordered.group_window``)."""
-    g = group_window(services.select("User_ID", "Service_ID", "ServiceStartDate"), "User_ID",
+    records are split over several tasks (``ordered.group_window``). ``carry``
+    passes further service columns through (for consumers of the same rows)."""
+    g = group_window(services.select("User_ID", "Service_ID", "ServiceStartDate", *carry), "User_ID",
                      ["ServiceStartDate", "Service_ID"], lag=["ServiceStartDate"],
                      hot=hot_keys(services, "User_ID") if hot is None else hot)
     return g.select(
         "User_ID", "Service_ID", "ServiceStartDate",
         days_between("ServiceStartDate", "_prev_ServiceStartDate").alias("Days_Since_Last_Service"),
-        F.col("_rn").alias("Service_Quantity"))
+        F.col("_rn").alias("Service_Quantity"), *carry)
 
 
 def cadence_median(cadence: DataFrame, params: Params = DEFAULT) -> DataFrame:

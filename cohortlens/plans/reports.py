@@ -126,13 +126,17 @@ def churn_truth_table(churn_tbl: DataFrame) -> DataFrame:
 
 def report_parts(t: Tables, keep: tuple, params: Params = DEFAULT, persist: bool = True) -> dict:
     """Intermediates of the segment reports. The cadence rows and the per-user
-    service mix are each computed once and read by several consumers: the mix
-    gives the service-user markers, the key facts of the NOT IN tests, the
-    service counts and the per-user totals of the churn rule."""
-    cad = sequence.service_cadence(t.services)
-    mix = segments.service_mix(t.services)
+    service mix are each computed once (the mix from the cadence rows) and
+    read by several consumers: the mix gives the service-user markers, the key
+    facts of the NOT IN tests, the service counts and the per-user totals of
+    the churn rule."""
+    # one pass over services: the cadence rows carry the type, and the per-user
+    # mix is aggregated from them (already partitioned by user)
+    cad = sequence.service_cadence(t.services, carry=("ServiceType",))
     if persist:
         cad = cad.persist(_KEEP)
+    mix = segments.service_mix(cad)
+    if persist:
         mix = mix.persist(_KEEP)
     cut = churn.gap_cutoffs(cad, params)
     crit = churn.churn_criteria(cad, cut, params)
