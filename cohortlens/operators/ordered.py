@@ -99,7 +99,7 @@ def group_window(df: DataFrame, key, order: list[str], lag: list[str] = (), lead
         return df.select("*", *_window_cols(w, lag, lead, first, second, final=True))
 
     key_types = [df.schema[c].dataType for c in ks]
-    hot_values = [h[0] if isinstance(key, str) else h[0] for h in hot]
+    hot_values = [h[0] for h in hot]
     hot_total = sum(h[1] for h in hot)
     parts = max(2, min(max_parts, math.ceil(hot_total / rows_per_part)))
     # struct membership treats NULL fields as equal, so a NULL key can be hot

@@ -27,6 +27,10 @@ def _case(key: Column, pairs, default=None) -> Column:
     return expr if default is None else expr.otherwise(default)
 
 
+# The labels, thresholds and moduli below are fixed values of the TESTDATA
+# mapping written down in FIXTURES.md §3; the oracle SQL repeats them.
+
+
 def users(customer: DataFrame, nation: DataFrame, region: DataFrame) -> DataFrame:
     c = customer.select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
     geo = nation.join(region, nation.n_regionkey == region.r_regionkey).select("n_nationkey", "n_name", "r_name")
