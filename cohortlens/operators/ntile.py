@@ -27,6 +27,7 @@ import math
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROWS_PER_RANGE = 2_000_000
 MIN_RANGES = 8
@@ -45,16 +46,9 @@ def sql_order_key(value):
     return (1, 0, value)
 
 
-def _key(v: str, id_col: str) -> Column:
-    return F.struct(F.col(v).alias("v"), F.col(id_col).alias("i"))
-
-
-def _lit_key(v, i, vtype, itype) -> Column:
-    return F.struct(F.lit(v).cast(vtype).alias("v"), F.lit(i).cast(itype).alias("i"))
-
-
 def _range_of(key: Column, splits: list[Column]) -> Column:
-    """Number of split keys <= key, by binary search over sorted splits."""
+    """Number of split keys <= key, by binary search over sorted splits (a
+    tree of comparisons; meant for a few dozen splits)."""
     def tree(lo: int, hi: int) -> Column:
         if lo == hi:
             return F.lit(lo)
@@ -63,6 +57,44 @@ def _range_of(key: Column, splits: list[Column]) -> Column:
     return tree(0, len(splits))
 
 
+TREE_SPLITS = 48   # above this the lookup goes through a broadcast range table
+
+
+def assign_ranges(df: DataFrame, key: Column, split_values: list[tuple], types: list, out: str,
+                  when: Column | None = None) -> DataFrame:
+    """Add ``out`` = number of split keys <= ``key`` (a struct with fields
+    k0, k1, ... of ``types``), NULL where ``when`` is false.
+
+    Few splits: one comparison tree. Many splits: a coarse bucket from every
+    G-th split (G about sqrt of the count, so a tree of a few dozen
+    comparisons), then a broadcast equi join on the bucket against the table
+    of fine ranges [lo, hi) with the bounds as a residual, so every row checks
+    at most G ranges and no expression grows with the number of ranges (one
+    huge expression would exceed the JVM's method size and lose code
+    generation). The range table has one row per range: bounded by the range
+    cap."""
+    lit = lambda vals: F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(vals, types))])
+    n = len(split_values)
+    if n <= TREE_SPLITS:
+        r = _range_of(key, [lit(v) for v in split_values])
+        return df.withColumn(out, r if when is None else F.when(when, r))
+    g = math.ceil(math.sqrt(n))
+    coarse = [lit(split_values[j]) for j in range(g - 1, n, g)]
+    c = _range_of(key, coarse)
+    key_type = T.StructType([T.StructField(f"k{i}", t) for i, t in enumerate(types)])
+    table = df.sparkSession.createDataFrame(
+        [(r // g, split_values[r - 1] if r > 0 else None, split_values[r] if r < n else None, r)
+         for r in range(n + 1)],
+        T.StructType([T.StructField("_rc", T.LongType()), T.StructField("_lo", key_type),
+                      T.StructField("_hi", key_type), T.StructField(out, T.IntegerType())]))
+    x = df.withColumn("_rc_row", c if when is None else F.when(when, c)).withColumn("_rkey", key)
+    cond = ((F.col("_rc_row") == F.col("_rc"))
+            & (F.col("_lo").isNull() | (F.col("_rkey") >= F.col("_lo")))
+            & (F.col("_hi").isNull() | (F.col("_rkey") < F.col("_hi"))))
+    joined = x.join(F.broadcast(table), cond, "inner" if when is None else "left")
+    return joined.drop("_rc_row", "_rkey", "_rc", "_lo", "_hi")
+
+
 def _tile(rank: str, n: int, k: int) -> Column:
     """SQL NTILE from a 0-based global rank column (integer division only)."""
     q, rem = divmod(n, k)
@@ -90,15 +122,14 @@ def ntiles(df: DataFrame, specs: list[tuple[str, str]], k: int, id_col: str,
         .select(id_col, *value_cols).collect()
     itype = base.schema[id_col].dataType
 
-    range_cols = []
+    ranged = base
     for j, (_, v) in enumerate(specs):
         vtype = base.schema[v].dataType
         keys = sorted(((r[v], r[id_col]) for r in sample),
                       key=lambda kv: (sql_order_key(kv[0]), sql_order_key(kv[1])))
         picks = sorted({len(keys) * i // ranges for i in range(1, ranges)} - {0}) if keys else []
-        splits = [_lit_key(keys[p][0], keys[p][1], vtype, itype) for p in picks]
-        range_cols.append(_range_of(_key(v, id_col), splits).alias(f"_r{j}"))
-    ranged = base.select("*", *range_cols)
+        key = F.struct(F.col(v).alias("k0"), F.col(id_col).alias("k1"))
+        ranged = assign_ranges(ranged, key, [keys[p] for p in picks], [vtype, itype], f"_r{j}")
 
     counted = ranged.select(F.explode(F.array(*[F.struct(F.lit(j).alias("d"), F.col(f"_r{j}").alias("r"))
                                                 for j in range(len(specs))])).alias("x")) \

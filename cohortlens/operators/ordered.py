@@ -29,7 +29,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.operators.ntile import _range_of, sql_order_key
+from cohortlens.operators.ntile import assign_ranges, sql_order_key
 
 HOT_ROWS = 2_000_000
 ROWS_PER_PART = 1_000_000
@@ -113,8 +113,8 @@ def group_window(df: DataFrame, key, order: list[str], lag: list[str] = (), lead
     sample = sorted(rows, key=lambda r: tuple(sql_order_key(v) for v in r["s"]))
     picks = sorted({len(sample) * i // parts for i in range(1, parts)} - {0}) if sample else []
     types = [df.schema[c].dataType for c in sort_cols]
-    splits = [_lit_struct(sample[p]["s"], types) for p in picks]
-    x = df.withColumn("_part", F.when(is_hot, _range_of(sort_key, splits) + 1).otherwise(F.lit(0)))
+    x = assign_ranges(df, sort_key, [tuple(sample[p]["s"]) for p in picks], types, "_range", when=is_hot)
+    x = x.withColumn("_part", F.coalesce(F.col("_range") + 1, F.lit(0))).drop("_range")
 
     w = Window.partitionBy(*ks, "_part").orderBy(*order)
     win = x.select("*", *_window_cols(w, lag, lead, first, second, final=False))

@@ -55,3 +55,13 @@ def test_special_doubles_and_strings(spark):
                                "id long, v double, s string")
     assert _ours(df, "v", 6, rows_per_range=20) == _native(df, "v", 6)
     assert _ours(df, "s", 4, rows_per_range=20) == _native(df, "s", 4)
+
+
+def test_range_table_path_with_many_ranges(spark):
+    # ~1000 ranges: the lookup goes through the broadcast range table
+    df = spark.range(20000).select("id", F.pmod(F.xxhash64("id"), F.lit(700)).alias("v"))
+    from cohortlens.operators import ntile as nt
+    assert 20000 // 20 - 1 > nt.TREE_SPLITS
+    assert _ours(df, "v", 5, rows_per_range=20) == _native(df, "v", 5)
+    plan = ntiles(df, [("t", "v")], 5, "id", rows_per_range=20)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SinglePartition" not in plan

@@ -41,3 +41,14 @@ def test_sequence_and_cadence_with_hot_users(spark):
     assert len(hot) == 64
     assert _rows(sequence.service_sequence(t.services, hot=hot)) == _rows(sequence.service_sequence(t.services, hot=[]))
     assert _rows(sequence.service_cadence(t.services, hot=hot)) == _rows(sequence.service_cadence(t.services, hot=[]))
+
+
+def test_split_with_range_table_matches_plain(spark):
+    df = spark.range(4000).select(
+        F.when(F.col("id") < 3000, F.lit(0)).otherwise(F.col("id") % 10 + 1).alias("u"),
+        F.col("id").alias("q"), F.pmod(F.xxhash64("id"), F.lit(90)).cast("int").alias("d"),
+        F.concat(F.lit("t"), (F.col("id") % 5).cast("string")).alias("t"), F.lit("c").alias("c"))
+    plain = ordered.group_window(df, "u", ["d", "q"], hot=[], **COLS)
+    hot = ordered.hot_keys(df, "u", hot_rows=50, max_hot=8)
+    split = ordered.group_window(df, "u", ["d", "q"], hot=hot, rows_per_part=20, **COLS)   # ~200 parts
+    assert _rows(split) == _rows(plain)
