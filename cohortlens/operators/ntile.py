@@ -142,7 +142,7 @@ def ntiles(df: DataFrame, specs: list[tuple[str, str]], k: int, id_col: str,
             offsets.append(acc)
             acc += sizes.get(r, 0)
         w = Window.partitionBy(f"_r{j}").orderBy(F.col(v).asc_nulls_first(), F.col(id_col).asc_nulls_first())
-        offset = F.element_at(F.array(*[F.lit(o) for o in offsets]), F.col(f"_r{j}") + 1)
+        offset = F.element_at(F.lit(offsets).cast("array<bigint>"), F.col(f"_r{j}") + 1)
         out = out.withColumn("_rank", (offset + F.row_number().over(w) - 1).cast("long"))
         out = out.withColumn(name, _tile("_rank", n, k)).drop("_rank")
     return out.drop(*[f"_r{j}" for j in range(len(specs))])
