@@ -57,7 +57,8 @@ def campaign_pairs(campaigns: DataFrame, responses: DataFrame) -> DataFrame:
     return campaigns.select(*CAMPAIGN_COLS).join(r, "Campaign_ID", "inner")
 
 
-def window_matches(pairs: DataFrame, services: DataFrame, params: Params = DEFAULT) -> DataFrame:
+def window_matches(pairs: DataFrame, services: DataFrame, params: Params = DEFAULT,
+                   campaigns: DataFrame | None = None) -> DataFrame:
     """(campaign, user, outreach date) x services in the outreach window.
 
     Equi join on (user, bin) with bins of ``window + 1`` days: a pair sits in
@@ -69,7 +70,15 @@ def window_matches(pairs: DataFrame, services: DataFrame, params: Params = DEFAU
     odate = F.col("OutreachDate")
     p = pairs.select(*PAIR, "OutreachDate").withColumn("_bin", _bin(odate, width))
     sbin = _bin(F.col("ServiceStartDate"), width)
-    s = services.select("User_ID", *SERVICE_COLS).withColumn("_bin", F.explode(F.array(sbin - 1, sbin)))
+    s = services.select("User_ID", *SERVICE_COLS)
+    if campaigns is not None:
+        # only services between the first outreach date and the last one plus
+        # the window can match: two scalar subqueries over the small campaign table
+        bounds = campaigns.select(F.struct(F.min("OutreachDate").alias("lo"),
+                                           F.date_add(F.max("OutreachDate"), params.attribution_days).alias("hi"))
+                                  ).scalar()
+        s = s.where(F.col("ServiceStartDate").between(bounds.getField("lo"), bounds.getField("hi")))
+    s = s.withColumn("_bin", F.explode(F.array(sbin - 1, sbin)))
     start = F.col("ServiceStartDate")
     return (p.join(s, ["User_ID", "_bin"], "inner")
             .where((start >= odate) & (days_between(start, odate) <= params.attribution_days))
@@ -80,7 +89,7 @@ def attribution(campaigns: DataFrame, responses: DataFrame, services: DataFrame,
                 params: Params = DEFAULT) -> DataFrame:
     """The attribution table: one row per kept (campaign, user) pair."""
     pairs = campaign_pairs(campaigns, responses)
-    m = window_matches(pairs, services, params)
+    m = window_matches(pairs, services, params, campaigns)
     # earliest service of each pair: start date first, Service_ID breaks ties
     ranked = ["ServiceStartDate", "Service_ID"] + [c for c in SERVICE_COLS if c not in ("ServiceStartDate", "Service_ID")]
     best_service = m.groupBy(*PAIR).agg(F.min(F.struct(*ranked)).alias("_s"))
@@ -103,7 +112,7 @@ def attribution_base(campaigns: DataFrame, responses: DataFrame, services: DataF
     (user, NULL service) group, which is large for a heavy user."""
     pairs = campaigns.select(*CAMPAIGN_COLS).join(responses.select(*PAIR, *RESPONSE_COLS), "Campaign_ID")
     keys = pairs.select(*PAIR, "OutreachDate").distinct()
-    m = window_matches(keys, services, params).drop("OutreachDate")
+    m = window_matches(keys, services, params, campaigns).drop("OutreachDate")
     rows = pairs.join(m, PAIR, "left").withColumn(
         "Converted", F.when(F.col("Service_ID").isNotNull(), 1).otherwise(0))
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)   # read by two hot-key counts and the result
