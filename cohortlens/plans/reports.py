@@ -24,6 +24,16 @@ _KEEP = StorageLevel.MEMORY_AND_DISK
 # ---------------------------------------------------------------- quality
 
 
+def check_contracts(t: Tables) -> None:
+    """Fail loudly when a key the analyses join on at user grain repeats:
+    users and app usage must hold one row per User_ID (a repeat would fan out
+    the RFM and churn tables), services one row per Service_ID. One
+    aggregation job per table; run it once per load, not per query."""
+    quality.assert_unique(t.users, "User_ID")
+    quality.assert_unique(t.app_usage, "User_ID")
+    quality.assert_unique(t.services.where(F.col("Service_ID").isNotNull()), "Service_ID")
+
+
 def null_profiles(t: Tables) -> dict[str, DataFrame]:
     return {name: quality.null_profile(df) for name, df in t.as_dict().items()}
 
@@ -166,6 +176,21 @@ def age_report(t: Tables, params: Params = DEFAULT, ordered: bool = True) -> Dat
     return rep.orderBy(F.col("Age_Bracket").asc_nulls_first()) if ordered else rep
 
 
+def segment_reports(t: Tables, params: Params = DEFAULT) -> dict[str, DataFrame]:
+    """Both segment reports from one set of intermediates: the cadence rows,
+    service mix, cutoffs, medians and churn rule are built (and cached) once,
+    only the user segment keys differ."""
+    base = report_parts(t, ("Region", "IncomeBracket"), params)
+    aged = segments.with_age_bracket(t.users)
+    status = segments.activity_status(aged, base["mix"], t.app_usage, REPORT_LABELS, ("Age_Bracket",))
+    flags = segments.activity_flags(status, ("Age_Bracket",))
+    region = segments.segment_report(base["flags"], base["core"], ["Region", "IncomeBracket"],
+                                     {"IncomeBracket": "Income_Bracket"}, params=params)
+    age = segments.segment_report(flags, base["core"], ["Age_Bracket"], status_shares=True, params=params)
+    return {"region": segments.order_region_report(region),
+            "age": age.orderBy(F.col("Age_Bracket").asc_nulls_first())}
+
+
 def app_adoption_by_age(t: Tables) -> DataFrame:
     """Share of users with an app-usage row per age bracket."""
     u = segments.with_age_bracket(t.users).select("User_ID", "Age_Bracket")

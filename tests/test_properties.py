@@ -54,3 +54,17 @@ def test_row_order_independence(spark):
                   lambda x: reports.attribution_table(x, TESTDATA),
                   lambda x: reports.region_report(x, TESTDATA, ordered=False)):
         assert _rows(build(base)) == _rows(build(shuffled))
+
+
+def test_segment_reports_share_intermediates(spark, t):
+    both = reports.segment_reports(t, TESTDATA)
+    assert _rows(both["region"]) == _rows(reports.region_report(t, TESTDATA))
+    assert _rows(both["age"]) == _rows(reports.age_report(t, TESTDATA))
+
+
+def test_contracts(spark, t):
+    reports.check_contracts(t)
+    dup = Tables(users=t.users, services=t.services, app_usage=t.app_usage.unionByName(t.app_usage.limit(1)),
+                 campaigns=t.campaigns, responses=t.responses)
+    with pytest.raises(ValueError):
+        reports.check_contracts(dup)
