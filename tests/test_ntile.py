@@ -17,7 +17,8 @@ def _ours(df, v, k, **kw):
     return {r.id: r.t for r in ntiles(df, [("t", v)], k, "id", **kw).select("id", "t").collect()}
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=12, deadline=None, derandomize=True,
+          suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(values=st.lists(st.one_of(st.none(), st.integers(0, 6)), min_size=0, max_size=300),
        k=st.integers(1, 7))
 def test_matches_native_with_ties_and_nulls(spark, values, k):
