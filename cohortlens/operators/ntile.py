@@ -6,8 +6,10 @@ unique key ``(v, id)`` is cut into B ranges instead:
 
 1. a deterministic hash sample of ``id`` (a few dozen rows per range) is
    sorted and B - 1 split keys are taken from it;
-2. each row's range is found with a balanced tree of comparisons (log2 B
-   per row, built-in expressions only);
+2. each row's range is found by ``assign_ranges``: a small tree of
+   comparisons for a few dozen splits, otherwise a tree to a coarse bucket
+   and a broadcast equi join against the bounded table of fine ranges
+   (built-in expressions only, none growing with B);
 3. rows per range are counted (B small rows to the driver) and turned into
    offsets;
 4. ``row_number`` inside each range plus the range's offset is the global

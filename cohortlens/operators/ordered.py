@@ -8,9 +8,9 @@ alone. ``group_window`` splits only such hot keys:
    aggregated count (at most ``max_hot`` keys, so everything derived from
    them has a fixed bound);
 2. a deterministic hash sample of their rows gives split keys on
-   ``(key, order...)``; each hot row gets part ``1 + range`` through a
-   balanced tree of comparisons (log2 of the number of ranges per row), every
-   other row part 0;
+   ``(key, order...)``; each hot row gets part ``1 + range`` through
+   ``ntile.assign_ranges`` (comparison tree, or coarse tree plus broadcast
+   range table for many parts), every other row part 0;
 3. the window runs over ``(key, part)``, so no task holds more than about
    ``rows_per_part`` rows of a hot key;
 4. a per-(key, part) table of hot parts only (bounded by ranges + hot keys)
