@@ -59,6 +59,13 @@ class Params:
     approx_accuracy: int = 10000
     pivot_service: str = TELEHEALTH
     service_types: tuple = field(default=SERVICE_TYPES)
+    # how intermediates read by several consumers are kept (a StorageLevel
+    # name); DISK_ONLY suits the full-size service sequence on a cluster
+    storage_level: str = "MEMORY_AND_DISK"
+
+    def storage(self):
+        from pyspark import StorageLevel
+        return getattr(StorageLevel, self.storage_level)
 
     def with_(self, **kw) -> "Params":
         return replace(self, **kw)

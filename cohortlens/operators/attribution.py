@@ -26,7 +26,6 @@ Execution:
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -115,7 +114,7 @@ def attribution_base(campaigns: DataFrame, responses: DataFrame, services: DataF
     m = window_matches(keys, services, params, campaigns).drop("OutreachDate")
     rows = pairs.join(m, PAIR, "left").withColumn(
         "Converted", F.when(F.col("Service_ID").isNotNull(), 1).otherwise(0))
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)   # read by two hot-key counts and the result
+    rows = rows.persist(params.storage())   # read by two hot-key counts and the result
     r1 = group_window(rows, PAIR, ["ServiceStartDate", "Service_ID"]).select(
         *rows.columns, F.col("_rn").alias("Campaign_Service_Rank"))
     r2 = group_window(r1, ["User_ID", "Service_ID"], ["OutreachDate", "Campaign_ID"],

@@ -109,10 +109,13 @@ def _tile(rank: str, n: int, k: int) -> Column:
 
 def ntiles(df: DataFrame, specs: list[tuple[str, str]], k: int, id_col: str,
            rows_per_range: int = ROWS_PER_RANGE, min_ranges: int = MIN_RANGES,
-           max_ranges: int = MAX_RANGES, persist: bool = True) -> DataFrame:
+           max_ranges: int = MAX_RANGES, persist: bool | StorageLevel = True) -> DataFrame:
     """Add one ``NTILE(k)`` column per ``(out_name, value_col)`` spec, each
-    ordered by ``value_col ASC NULLS FIRST, id_col``."""
-    base = df.persist(StorageLevel.MEMORY_AND_DISK) if persist else df
+    ordered by ``value_col ASC NULLS FIRST, id_col``. The input is read by
+    four jobs, so it is persisted (``persist``: True, False or a
+    StorageLevel)."""
+    level = StorageLevel.MEMORY_AND_DISK if persist is True else persist
+    base = df.persist(level) if level else df
     n = base.count()
     if n == 0:
         return base.select("*", *[F.lit(None).cast("int").alias(o) for o, _ in specs])

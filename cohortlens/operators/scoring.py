@@ -27,6 +27,7 @@ def service_activity(services: DataFrame) -> DataFrame:
 def rfm_service(services: DataFrame, params: Params = DEFAULT, **ntile_kw) -> DataFrame:
     act = service_activity(services).withColumn(
         "Days_Since_Last_Service", days_between(as_date(params.service_as_of), "Last_Service_Activity"))
+    ntile_kw.setdefault("persist", params.storage())
     return ntiles(act, [("R_Service", "Last_Service_Activity"), ("F_Service", "Total_Number_of_Services"),
                         ("M_Service", "Total_Service_Fee")], params.score_buckets, "User_ID", **ntile_kw)
 
@@ -35,6 +36,7 @@ def rfm_app(app_usage: DataFrame, params: Params = DEFAULT, **ntile_kw) -> DataF
     app = app_usage.select(
         "User_ID", "AvgSessionMinutes", "TelehealthSpend", F.col("LastServiceDate").alias("Last_App_Activity"),
         days_between(as_date(params.app_as_of), "LastServiceDate").alias("Days_Since_Last_App"))
+    ntile_kw.setdefault("persist", params.storage())
     return ntiles(app, [("R_App", "Last_App_Activity"), ("F_App", "AvgSessionMinutes"),
                         ("M_App", "TelehealthSpend")], params.score_buckets, "User_ID", **ntile_kw)
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +18,6 @@ from cohortlens.operators import attribution as attr_ops
 from cohortlens.operators import churn, quality, scoring, segments, sequence
 from cohortlens.sources.tables import Tables
 
-_KEEP = StorageLevel.MEMORY_AND_DISK
 
 # ---------------------------------------------------------------- quality
 
@@ -50,7 +48,7 @@ def key_checks(t: Tables) -> dict[str, DataFrame]:
 def churn_parts(t: Tables, params: Params = DEFAULT, persist: bool = True) -> dict[str, DataFrame]:
     seq = sequence.service_sequence(t.services)
     if persist:
-        seq = seq.persist(_KEEP)
+        seq = seq.persist(params.storage())
     cut = churn.gap_cutoffs(seq, params)
     return {
         "sequence": seq,
@@ -144,10 +142,10 @@ def report_parts(t: Tables, keep: tuple, params: Params = DEFAULT, persist: bool
     # mix is aggregated from them (already partitioned by user)
     cad = sequence.service_cadence(t.services, carry=("ServiceType",))
     if persist:
-        cad = cad.persist(_KEEP)
+        cad = cad.persist(params.storage())
     mix = segments.service_mix(cad)
     if persist:
-        mix = mix.persist(_KEEP)
+        mix = mix.persist(params.storage())
     cut = churn.gap_cutoffs(cad, params)
     crit = churn.churn_criteria(cad, cut, params)
     totals = mix.select("User_ID", F.col("Service_Count").alias("Total_Services"))
