@@ -115,14 +115,16 @@ def engagement_core(engagement_totals: DataFrame, medians: DataFrame, customer_c
                     "Median_Days_Between_Services", "Service_Count", *[c for _, c in TYPE_COLUMNS]))
 
 
-def engaged_users(users: DataFrame, services: DataFrame | None, engagement_totals: DataFrame,
-                  medians: DataFrame, customer_churn: DataFrame, keep: tuple = ("Region", "IncomeBracket"),
-                  mix: DataFrame | None = None) -> DataFrame:
+def engaged_users(users: DataFrame, services: DataFrame | None, engagement_totals: DataFrame | None,
+                  medians: DataFrame | None, customer_churn: DataFrame | None,
+                  keep: tuple = ("Region", "IncomeBracket"), mix: DataFrame | None = None,
+                  core: DataFrame | None = None) -> DataFrame:
     """Users with at least one service, with their segment keys, churn risk,
-    campaign engagement, median cadence and service mix (``mix`` may be
-    passed precomputed)."""
-    mix = service_mix(services) if mix is None else mix
-    core = engagement_core(engagement_totals, medians, customer_churn, mix)
+    campaign engagement, median cadence and service mix (``mix`` or the whole
+    ``engagement_core`` may be passed precomputed)."""
+    if core is None:
+        mix = service_mix(services) if mix is None else mix
+        core = engagement_core(engagement_totals, medians, customer_churn, mix)
     return users.select(_KEY, *keep).join(core, _KEY, "inner").select(
         _KEY, *keep, *[c for c in core.columns if c != _KEY])
 

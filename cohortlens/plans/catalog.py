@@ -98,7 +98,8 @@ def _age_bracket(spark, sf_dir):
 
 @register("engaged_users")
 def _engaged(spark, sf_dir):
-    return _rparts(spark, sf_dir)["engaged"]
+    p = _rparts(spark, sf_dir)
+    return segments.engaged_users(p["users"], None, None, None, None, core=p["core"])
 
 
 @register("region_report")

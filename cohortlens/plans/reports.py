@@ -155,10 +155,10 @@ def report_parts(t: Tables, keep: tuple, params: Params = DEFAULT, persist: bool
     users = segments.with_age_bracket(t.users) if "Age_Bracket" in keep else t.users
     status = segments.activity_status(users, mix, t.app_usage, REPORT_LABELS, keep)
     flags = segments.activity_flags(status, keep)
-    engaged = segments.engaged_users(users, None, eng_totals, medians, by_customer, keep, mix=mix)
     core = segments.engagement_core(eng_totals, medians, by_customer, mix)
-    return {"core": core, "cadence": cad, "cutoffs": cut, "criteria": crit, "by_customer": by_customer, "medians": medians,
-            "totals": eng_totals, "status": status, "flags": flags, "engaged": engaged, "mix": mix}
+    return {"core": core, "cadence": cad, "cutoffs": cut, "criteria": crit, "by_customer": by_customer,
+            "medians": medians, "totals": eng_totals, "status": status, "flags": flags, "mix": mix,
+            "users": users}
 
 
 def region_report(t: Tables, params: Params = DEFAULT, ordered: bool = True) -> DataFrame:
