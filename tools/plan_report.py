@@ -76,7 +76,8 @@ def main(argv):
     print("# Physical plans\n")
     print(f"Final adaptive plans of every registered query at `{sf_dir}`, from `tools/plan_report.py`. "
           "`shuffles` are hash or range exchanges; `single-partition` exchanges only feed one-row global "
-          "aggregates (null profiles, key counts, scalar subqueries), never a window or sort over all rows; "
+          "aggregates (null profiles, key counts, scalar subqueries) or the total over the at most four status "
+          "rows of `status_share`; never a window or sort over data that grows with the input; "
           "`cache-reads` read an intermediate persisted once for several consumers. No plan has a nested-loop "
           "or cartesian join.\n")
     print("| key | " + " | ".join(COLUMNS) + " |")
