@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.operators.ntile import assign_ranges, sql_order_key
+from cohortlens.session import app_id
 
 HOT_ROWS = 2_000_000
 ROWS_PER_PART = 1_000_000
@@ -53,7 +54,7 @@ def hot_keys(df: DataFrame, key, hot_rows: int | None = None, max_hot: int | Non
     per plan, so several consumers of one input pay once."""
     hot_rows = HOT_ROWS if hot_rows is None else hot_rows
     max_hot = MAX_HOT if max_hot is None else max_hot
-    memo = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), tuple(_keys(key)), hot_rows, max_hot)
+    memo = (app_id(df.sparkSession), df.semanticHash(), tuple(_keys(key)), hot_rows, max_hot)
     if memo not in _HOT_CACHE:
         _HOT_CACHE[memo] = _hot_keys(df, key, hot_rows, max_hot)
     return _HOT_CACHE[memo]

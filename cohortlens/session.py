@@ -34,12 +34,24 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
+def app_id(spark: SparkSession) -> str:
+    """Identifier of the running application (for per-session memos)."""
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # sessions without a local SparkContext (Spark Connect)
+        return spark.conf.get("spark.app.id", None) or str(id(spark))
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
     """Return the cluster's checkpoint folder (``spark.checkpoint.dir``).
 
     Only when none is configured (local tests) is a scratch folder created.
+    Sessions without a local SparkContext keep the server's setting.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:
+        return spark.conf.get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlens.session import app_id
 from cohortlens.sources.tables import Tables
 
 TPCH_TABLES = ("region", "nation", "customer", "supplier", "orders", "lineitem", "events")
@@ -125,7 +126,7 @@ def load(spark: SparkSession, sf_dir: str) -> Tables:
     The bundle of lazy DataFrames is defined once per application and
     directory (like tables registered in a catalog); no data is cached.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (app_id(spark), sf_dir)
     if key not in _LOADED:
         _LOADED[key] = _build(spark, sf_dir)
     return _LOADED[key]
