@@ -68,3 +68,11 @@ def test_contracts(spark, t):
                  campaigns=t.campaigns, responses=t.responses)
     with pytest.raises(ValueError):
         reports.check_contracts(dup)
+
+
+def test_disk_only_storage_gives_same_tables(spark):
+    small = testdata.load(spark, "/root/testdata/sf0.001")
+    disk = TESTDATA.with_(storage_level="DISK_ONLY")
+    ct = lambda p: reports.churn_table(small, p).withColumn("All_Service_Types", reports.history_text())
+    assert _rows(ct(disk)) == _rows(ct(TESTDATA))
+    assert _rows(reports.rfm_table(small, disk)) == _rows(reports.rfm_table(small, TESTDATA))
