@@ -61,3 +61,8 @@ def test_query_matches_oracle(spark, duck, key):
     b = sorted(tuple(canon(r[i]) for i in idx) for r in o_rows)
     assert len(a) == len(b)
     assert a == b
+
+
+def test_entry_schema_is_stable(spark):
+    assert entry(spark).schema == entry(spark).schema
+    assert all(callable(f) for f in queries().values())
