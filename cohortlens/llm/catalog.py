@@ -8,14 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
 from .jaccard_join import jaccard_join
+from .quality_rules import quality_rules
+from .secret_scan import secret_scan
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(read_table(spark, sf_dir, "documents"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(read_table(spark, sf_dir, "documents"))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_jaccard_join": op1_jaccard_join}
+    return {f.__name__: f for f in (op1_jaccard_join, op6_quality_rules, op9_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
