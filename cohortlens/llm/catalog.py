@@ -8,14 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
 from .jaccard_join import jaccard_join
+from .quality_classifier import classify_quality
 from .quality_rules import quality_rules
 from .secret_scan import secret_scan
+from .toxicity import classify_toxicity
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(read_table(spark, sf_dir, "documents"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents"))
 
@@ -25,7 +35,8 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_jaccard_join, op6_quality_rules, op9_secret_scan)}
+    return {f.__name__: f for f in (
+        op1_jaccard_join, op3_quality_classifier, op5_toxicity, op6_quality_rules, op9_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -54,20 +54,35 @@ def _segments(raw: np.ndarray):
         at = end
 
 
-def _segment_hashes(raw: np.ndarray) -> np.ndarray:
+def _segment_hashes(raw: np.ndarray, stems: tuple[int, ...] = ()) -> list[np.ndarray]:
+    """The hashes of the words, then of the first ``k`` bytes of the words
+    longer than ``k``, for each ``k`` of ``stems``."""
     inside = np.zeros(raw.size + 2, np.int8)
     inside[1:-1] = _WORD[raw]
     edges = np.flatnonzero(np.diff(inside))
     starts, ends = edges[::2], edges[1::2]
     sums = np.zeros(raw.size + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _power_table(_BASE, raw.size), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * _power_table(_INVERSE, raw.size)[starts])
+    inverse = _power_table(_INVERSE, raw.size)
+    out = [mix((sums[ends] - sums[starts]) * inverse[starts])]
+    for k in stems:
+        at = starts[ends - starts > k]
+        out.append(mix((sums[at + k] - sums[at]) * inverse[at] + np.uint64(k * 0x51ED270B)))
+    return out
 
 
 def word_hashes(text: str | None) -> np.ndarray:
     """The 64-bit hash of each word of ``text``, in order."""
     raw = np.frombuffer((text or "").lower().encode("utf-8", "surrogatepass"), np.uint8)
-    parts = [_segment_hashes(s) for s in _segments(raw)]
+    parts = [_segment_hashes(s)[0] for s in _segments(raw)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+
+
+def stem_hashes(text: str | None, stems: tuple[int, ...]) -> np.ndarray:
+    """The hashes of all words and of their first ``k`` bytes (``stems``),
+    in no order; words and stems of one length never share a hash on purpose."""
+    raw = np.frombuffer((text or "").lower().encode("utf-8", "surrogatepass"), np.uint8)
+    parts = [part for s in _segments(raw) for part in _segment_hashes(s, stems)]
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
