@@ -11,6 +11,7 @@ from .jaccard_join import jaccard_join
 from .quality_classifier import classify_quality
 from .quality_rules import quality_rules
 from .secret_scan import secret_scan
+from .token_records import encode_and_read
 from .toxicity import classify_toxicity
 
 
@@ -30,13 +31,25 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents"))
 
 
+def word_tokenizer() -> str:
+    """The public vocabulary file that the token queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_and_read(read_table(spark, sf_dir, "documents"), word_tokenizer())
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(read_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_jaccard_join, op3_quality_classifier, op5_toxicity, op6_quality_rules, op9_secret_scan)}
+        op1_jaccard_join, op3_quality_classifier, op5_toxicity, op6_quality_rules, op8_token_records,
+        op9_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:

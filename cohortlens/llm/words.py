@@ -30,6 +30,11 @@ def _power_table(base: int, n: int) -> np.ndarray:
     return table[:n]
 
 
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the base of the byte hashes, and of its inverse."""
+    return _power_table(_BASE, n), _power_table(_INVERSE, n)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: spreads every input bit over the whole hash."""
     h = h ^ (h >> np.uint64(32))
