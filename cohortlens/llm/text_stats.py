@@ -19,11 +19,12 @@ def _share(part: float, whole: float) -> float:
     return math.asin(math.sqrt(min(1.0, part / whole))) if whole > 0 else 0.0
 
 
-def text_statistics(text: str | None) -> np.ndarray:
+def text_statistics(text: str | None, words: np.ndarray | None = None) -> np.ndarray:
     """The statistics named in ``NAMES``; all 0 for a text without a word.
-    Capitals are those of ASCII and Latin-1."""
+    Capitals are those of ASCII and Latin-1.  ``words``: the text's word
+    hashes, if they are at hand."""
     out = np.zeros(len(NAMES))
-    words = word_hashes(text)
+    words = word_hashes(text) if words is None else words
     if not words.size:
         return out
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
