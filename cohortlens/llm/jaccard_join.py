@@ -258,6 +258,7 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, shingle_words: int = 5
     alone = texts.where(F.col("n_links").isNull()).select("key", "text_id", F.col("text_id").alias("class_id"),
                                                          F.lit(0).cast("long").alias("n_links"))
     known = staged(linked.unionByName(alone), "texts")
+    members = members.withColumn("key", F.when(F.col("doc_id").isNotNull(), F.col("key")))
     return members.join(known, "key", "left").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce("text_id", "doc_id").alias("text_id"),
