@@ -139,7 +139,7 @@ def test_pipeline_stages(spark, tmp_path):
         .where("length(text) between 800 and 4000")
     some = clean.limit(3).collect()
     planted = [(10_001, some[0].text, "en", "s", 1), (10_002, some[1].text + " one more word", "en", "s", 1),
-               (10_003, some[2].text[:400] + " " + bench.text + " " + some[2].text[400:], "en", "s", 1),
+               (10_003, " ".join(reversed(some[2].text.split(" "))) + " " + bench.text, "en", "s", 1),
                (10_004, "!! ### ".join(["SHOUT", "AGAIN"] * 60), "en", "s", 1), (10_005, None, None, None, None)]
     now = docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(
         spark.createDataFrame(planted, "doc_id long, text string, lang string, source string, n_chars long"))
