@@ -38,9 +38,10 @@ from .common import new_path, staged
 from .words import mix, power_tables
 
 END_ID = 1
-#: Bytes of text encoded at once, and pieces remembered per task.
+#: Bytes of text encoded at once, and pieces remembered per Python worker (in
+#: two generations, so that common pieces stay known).
 SEGMENT = 1 << 21
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 MANIFEST = "shard long, file string, index string, records long, tokens long"
@@ -64,15 +65,23 @@ class PieceEncoder:
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.dtype = np.dtype("<u4" if self.wide else "<u2")
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
 
     def _ids(self, pieces: list[bytes]) -> list[bytes]:
-        new = [p for p in pieces if p not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = pieces
+        if 2 * len(self.known) > REMEMBERED:
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
+        new = []
+        for p in pieces:
+            if p not in known:
+                old = before.get(p)
+                if old is None:
+                    new.append(p)
+                else:
+                    known[p] = old
         found = self.tokenizer.encode_batch_fast([p.decode("utf-8") for p in new], add_special_tokens=False)
-        self.known.update((p, np.array(e.ids, self.dtype).tobytes()) for p, e in zip(new, found))
-        return [self.known[p] for p in pieces]
+        known.update((p, np.array(e.ids, self.dtype).tobytes()) for p, e in zip(new, found))
+        return [known[p] for p in pieces]
 
     def segment(self, raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, number of ids of each text)`` of the texts that end at
@@ -133,6 +142,16 @@ class PieceEncoder:
             i = j
 
 
+_encoders: dict[str, PieceEncoder] = {}
+
+
+def _encoder(tokenizer_path: str) -> PieceEncoder:
+    """The encoder of this Python worker, kept from task to task."""
+    if tokenizer_path not in _encoders:
+        _encoders[tokenizer_path] = PieceEncoder(tokenizer_path)
+    return _encoders[tokenizer_path]
+
+
 def _filesystem(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path)
 
@@ -146,7 +165,7 @@ def write_records(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        encoder = PieceEncoder(tokenizer_path)
+        encoder = _encoder(tokenizer_path)
         store, folder = _filesystem(path)
         name = f"{folder}/part-{shard:06d}-{uuid.uuid4().hex}"
         places, offset, tokens, out = [], 0, 0, None
