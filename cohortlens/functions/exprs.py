@@ -24,10 +24,14 @@ def days_between(later, earlier) -> Column:
     return F.datediff(_col(later), _col(earlier))
 
 
+#: Scale of exact sums: keeps the digits of the input.
+EXACT = "decimal(38,12)"
+
+
 def money_sum(c) -> Column:
-    """Exact sum of a 2-decimal money column, returned as DOUBLE: the sum runs
-    in DECIMAL so it does not depend on row order."""
-    return F.sum(_col(c).cast("decimal(18,2)"))
+    """Sum of a money column in DECIMAL: independent of row order, and no digit
+    of the input is dropped before the sum."""
+    return F.sum(_col(c).cast(EXACT))
 
 
 def ratio(num, den) -> Column:

@@ -9,12 +9,14 @@ from cohortlens.sources import schemas
 from cohortlens.sources.tables import Tables
 
 # Sample-file layout of the reference (header row, M/d/yy dates).
-CSV_OPTIONS = {"header": "true", "dateFormat": "M/d/yy", "mode": "FAILFAST"}
+CSV_OPTIONS = {"header": "true", "dateFormat": "M/d/yy", "mode": "FAILFAST", "enforceSchema": "false"}
 
 
 def read_csv(spark: SparkSession, path: str, table: str):
     """One base table from CSV with its explicit schema; malformed rows fail
-    the read instead of turning into NULLs."""
+    the read instead of turning into NULLs, and so does a header whose names
+    differ from the schema's or stand in another order.  Only the columns that
+    a query reads are parsed and checked."""
     return spark.read.schema(schemas.BY_NAME[table]).options(**CSV_OPTIONS).csv(path)
 
 

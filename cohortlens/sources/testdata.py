@@ -2,8 +2,8 @@
 
 The mapping is the one written down in FIXTURES.md §3. Every table is derived
 lazily from the Parquet scans, so Catalyst prunes the scanned columns and the
-adapter's work grows with the input. Money sums go through DECIMAL(18,2) so
-they are exact and independent of summation order.
+adapter's work grows with the input. Money sums run in DECIMAL at a scale that
+keeps the input's digits, so they are independent of summation order.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.session import app_id
+from cohortlens.functions.exprs import EXACT
 from cohortlens.sources.tables import Tables
 
 TPCH_TABLES = ("region", "nation", "customer", "supplier", "orders", "lineitem", "events")
@@ -61,20 +61,21 @@ def services(orders: DataFrame) -> DataFrame:
     ], F.when(key % 2 == 0, "Vaccination").otherwise("Subscription Benefit"))
     channel = _case(key % 4, [(0, "Direct Digital"), (1, "Partner Plan"), (2, "Community Program")],
                     F.lit("Pharmacy Partner"))
-    return (orders.where(F.col("o_orderstatus") == "F")
-            .select(
-                F.col("o_custkey").alias("User_ID"),
-                key.alias("Service_ID"),
-                start.alias("ServiceStartDate"),
-                F.when(key % 4 == 0, F.date_add(start, (30 + key % 90).cast("int"))).alias("ServiceEndDate"),
-                F.col("o_totalprice").alias("ServiceFee"),
-                kind.alias("ServiceType"),
-                channel.alias("AccessChannel")))
+    # a finished order is an ended service, any other one is ongoing
+    ended = F.col("o_orderstatus") == "F"
+    return orders.select(
+        F.col("o_custkey").alias("User_ID"),
+        key.alias("Service_ID"),
+        start.alias("ServiceStartDate"),
+        F.when(ended, F.date_add(start, (30 + key % 90).cast("int"))).alias("ServiceEndDate"),
+        F.col("o_totalprice").alias("ServiceFee"),
+        kind.alias("ServiceType"),
+        channel.alias("AccessChannel"))
 
 
 def app_usage(events: DataFrame) -> DataFrame:
     purchase = F.col("event_type") == "purchase"
-    money = F.col("value").cast("decimal(18,2)")
+    money = F.col("value").cast(EXACT)
     day = F.col("ts").cast("date")
     spend = F.sum(F.when(purchase, money))
     agg = (events.groupBy("user_id")
@@ -117,22 +118,9 @@ def responses(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
                  F.sum("l_quantity").cast("bigint").alias("EngagementCount")))
 
 
-_LOADED: dict[tuple[str, str], Tables] = {}
-
-
 def load(spark: SparkSession, sf_dir: str) -> Tables:
-    """The five base tables derived from ``sf_dir``'s Parquet files.
-
-    The bundle of lazy DataFrames is defined once per application and
-    directory (like tables registered in a catalog); no data is cached.
-    """
-    key = (app_id(spark), sf_dir)
-    if key not in _LOADED:
-        _LOADED[key] = _build(spark, sf_dir)
-    return _LOADED[key]
-
-
-def _build(spark: SparkSession, sf_dir: str) -> Tables:
+    """The five base tables derived from ``sf_dir``'s Parquet files, as lazy
+    DataFrames."""
     t = {n: _read(spark, sf_dir, n) for n in TPCH_TABLES}
     return Tables(
         users=users(t["customer"], t["nation"], t["region"]),
