@@ -12,6 +12,10 @@ then ``Service_ID``; outreach date then ``Campaign_ID``.
 
 Execution:
 
+* only days matter to the attribution table: services are reduced to the
+  first per user and day, touches to the first campaign per user and day, and
+  the day-level answers are joined back to the pairs, so no pair meets every
+  service of its window (``attribution_base`` does, as that is its output);
 * the range join is an equi join on ``(User_ID, time bin)`` with bins of
   ``window + 1`` days; a pair's window touches at most two bins, so each
   service is offered to its own bin and the one before (the service side is
@@ -20,8 +24,7 @@ Execution:
 * both "earliest" choices are ``min(struct)`` aggregations, which combine
   partially before the shuffle, so a hot user or campaign does not land in
   one task the way a window partition would;
-* only matched rows (a small share) travel through those aggregations; the
-  big pair table is shuffled once, by (campaign, user), and reused.
+* all reductions are aggregations that combine before the shuffle.
 """
 
 from __future__ import annotations
@@ -44,7 +47,7 @@ def _bin(date: Column, width: int) -> Column:
     return F.floor(F.unix_date(date) / F.lit(width))
 
 
-def campaign_pairs(campaigns: DataFrame, responses: DataFrame) -> DataFrame:
+def campaign_pairs(campaigns: DataFrame, responses: DataFrame, carry: list = ()) -> DataFrame:
     """One row per (campaign, user) response joined to its campaign; pairs of
     unknown campaigns drop out (inner join). Duplicate responses of a pair
     collapse to one row (the reference keeps one row per pair)."""
@@ -53,7 +56,7 @@ def campaign_pairs(campaigns: DataFrame, responses: DataFrame) -> DataFrame:
     # aggregation (a struct minimum would sort the whole response table)
     h = F.xxhash64(*RESPONSE_COLS)
     r = responses.groupBy(*PAIR).agg(*[F.min_by(c, h).alias(c) for c in RESPONSE_COLS])
-    return campaigns.select(*CAMPAIGN_COLS).join(r, "Campaign_ID", "inner")
+    return campaigns.select(*CAMPAIGN_COLS, *carry).join(r, "Campaign_ID", "inner")
 
 
 def window_matches(pairs: DataFrame, services: DataFrame, params: Params = DEFAULT,
@@ -84,20 +87,49 @@ def window_matches(pairs: DataFrame, services: DataFrame, params: Params = DEFAU
             .drop("_bin"))
 
 
+def touch_matches(pairs: DataFrame, services: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """Day-level matches of touches and services: ``User_ID, OutreachDate``,
+    the first service of the window (struct ``_s``) and the campaign it is
+    credited to (``_credit``: NULL when an earlier touch has it).
+
+    Only days matter, so each side is first reduced to one row per user and
+    day: services to the first of the day, touches to the first campaign of
+    the day.  A bin of ``window + 1`` days then holds at most that many touch
+    days and each meets at most twice as many service days, whatever the
+    user's history."""
+    width = params.attribution_days + 1
+    ranked = ["ServiceStartDate", "Service_ID"] + [c for c in SERVICE_COLS if c not in ("ServiceStartDate", "Service_ID")]
+    touches = (pairs.where(F.col("User_ID").isNotNull() & F.col("OutreachDate").isNotNull())
+               .groupBy("User_ID", "OutreachDate").agg(F.min("Campaign_ID").alias("_first"))
+               .withColumn("_bin", _bin(F.col("OutreachDate"), width)))
+    start = F.col("ServiceStartDate")
+    days = (services.where(F.col("User_ID").isNotNull() & start.isNotNull())
+            .groupBy("User_ID", "ServiceStartDate").agg(F.min(F.struct(*ranked)).alias("_s"))
+            .withColumn("_bin", F.explode(F.array(_bin(start, width) - 1, _bin(start, width)))))
+    near = touches.join(days, ["User_ID", "_bin"]).where(
+        (start >= F.col("OutreachDate")) & (days_between(start, "OutreachDate") <= params.attribution_days))
+    best = near.groupBy("User_ID", "OutreachDate").agg(F.min("_s").alias("_s"), F.first("_first").alias("_first"))
+    first_touch = near.groupBy("User_ID", "ServiceStartDate").agg(F.min("OutreachDate").alias("_first_date"))
+    return (best.withColumn("ServiceStartDate", F.col("_s.ServiceStartDate"))
+            .join(first_touch, ["User_ID", "ServiceStartDate"])
+            .select("User_ID", "OutreachDate", "_s",
+                    F.when(F.col("_first_date") == F.col("OutreachDate"), F.col("_first")).alias("_credit")))
+
+
 def attribution(campaigns: DataFrame, responses: DataFrame, services: DataFrame,
                 params: Params = DEFAULT) -> DataFrame:
-    """The attribution table: one row per kept (campaign, user) pair."""
-    pairs = campaign_pairs(campaigns, responses)
-    m = window_matches(pairs, services, params, campaigns)
-    # earliest service of each pair: start date first, Service_ID breaks ties
-    ranked = ["ServiceStartDate", "Service_ID"] + [c for c in SERVICE_COLS if c not in ("ServiceStartDate", "Service_ID")]
-    best_service = m.groupBy(*PAIR).agg(F.min(F.struct(*ranked)).alias("_s"))
-    first_campaign = m.groupBy("User_ID", "Service_ID").agg(
-        F.min(F.struct("OutreachDate", "Campaign_ID")).getField("Campaign_ID").alias("_first_campaign"))
-    credited = (best_service.select(*PAIR, *[F.col(f"_s.{c}").alias(c) for c in SERVICE_COLS])
-                .join(first_campaign, ["User_ID", "Service_ID"], "left"))
-    out = pairs.join(credited, PAIR, "left").where(
-        F.col("Service_ID").isNull() | (F.col("_first_campaign") == F.col("Campaign_ID")))
+    """The attribution table: one row per kept (campaign, user) pair.  Of a
+    campaign that occurs more than once, a pair takes the row with the first
+    service (none first), then the first outreach date and attributes."""
+    times = campaigns.groupBy("Campaign_ID").agg(F.count(F.lit(1)).alias("_times"))
+    pairs = campaign_pairs(campaigns.join(times, "Campaign_ID"), responses, ["_times"])
+    rows = pairs.join(touch_matches(pairs, services, params), ["User_ID", "OutreachDate"], "left").select(
+        *CAMPAIGN_COLS, "User_ID", *RESPONSE_COLS, *[F.col(f"_s.{c}").alias(c) for c in SERVICE_COLS], "_credit", "_times")
+    order = ["ServiceStartDate", "Service_ID", "OutreachDate"]
+    whole = F.struct(*order, *[c for c in rows.columns if c not in order])
+    repeated = rows.where(F.col("_times") > 1).groupBy(*[F.col(c).alias(f"_{c}") for c in PAIR]).agg(F.min(whole).alias("r"))
+    rows = rows.where(F.col("_times") == 1).unionByName(repeated.select("r.*").select(*rows.columns))
+    out = rows.where(F.col("Service_ID").isNull() | (F.col("_credit") == F.col("Campaign_ID")))
     return out.select(*CAMPAIGN_COLS, "User_ID", *RESPONSE_COLS, *SERVICE_COLS,
                       F.when(F.col("Service_ID").isNotNull(), 1).otherwise(0).alias("Converted"))
 
