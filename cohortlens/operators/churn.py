@@ -34,12 +34,36 @@ def _next_cutoff(cutoffs: DataFrame, name: str) -> DataFrame:
                           F.col("P75_Gap").alias(name))
 
 
+#: Most cutoffs (one per ordinal, two numbers each) that are broadcast.
+BROADCAST_CUTOFFS = 500_000
+
+
+def _with_cutoff(rows: DataFrame, cutoffs: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the cutoff that judges their ordinal (NULL: none).
+
+    There is one cutoff per ordinal, as many as the longest sequence has
+    services.  Their number is looked up first: a table within the bound is
+    broadcast, so the rows, of which the first ordinal holds one per user, are
+    not shuffled on it.  A longer one is joined on (ordinal, salt), each cutoff
+    repeated once per salt."""
+    nxt = _next_cutoff(cutoffs, name).where(F.col("Service_Quantity") >= 1)
+    if cutoffs.limit(BROADCAST_CUTOFFS + 1).count() <= BROADCAST_CUTOFFS:
+        return rows.join(F.broadcast(nxt), "Service_Quantity", "left")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    salt = F.pmod(F.xxhash64("User_ID"), F.lit(SALTS)).cast("int")
+    return (rows.withColumn("_salt", salt)
+            .join(nxt.withColumn("_salt", salts), ["Service_Quantity", "_salt"], "left").drop("_salt"))
+
+
+SALTS = 64
+
+
 def churn_criteria(cadence: DataFrame, cutoffs: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Report rule at service level: every cadence row with the window allowed
     for its next service and the 0/1 churn risk."""
     days = days_between(as_date(params.service_as_of), "ServiceStartDate")
     nxt = F.col("Next_Service_Within_Days")
-    return (cadence.join(_next_cutoff(cutoffs, "Next_Service_Within_Days"), "Service_Quantity", "left")
+    return (_with_cutoff(cadence, cutoffs, "Next_Service_Within_Days")
             .select("User_ID", "Service_ID", "ServiceStartDate", "Service_Quantity",
                     "Next_Service_Within_Days",
                     days.alias("Days_Since_Service"),
@@ -52,9 +76,12 @@ def churn_by_customer(services: DataFrame | None, criteria: DataFrame, totals: D
     Total_Services) may be passed when already computed."""
     if totals is None:
         totals = services.groupBy("User_ID").agg(F.count("Service_ID").alias("Total_Services"))
-    crit = criteria.select("User_ID", F.col("Service_Quantity").alias("Total_Services"), "Churn_Risk")
-    return totals.join(crit, ["User_ID", "Total_Services"], "left").select(
-        "User_ID", "Total_Services", "Churn_Risk")
+    # joins and aggregation run on User_ID alone, the partitioning that rows
+    # and totals have; a filter on the ordinal would become a join key
+    hit = F.col("Service_Quantity") == F.col("Total_Services")
+    judged = criteria.select("User_ID", "Service_Quantity", "Churn_Risk").join(totals, "User_ID").groupBy("User_ID").agg(
+        F.max(F.when(hit, F.col("Churn_Risk"))).alias("Churn_Risk"))
+    return totals.join(judged, "User_ID", "left").select("User_ID", "Total_Services", "Churn_Risk")
 
 
 def service_churn(seq: DataFrame, cutoffs: DataFrame, params: Params = DEFAULT) -> DataFrame:
@@ -68,7 +95,7 @@ def service_churn(seq: DataFrame, cutoffs: DataFrame, params: Params = DEFAULT)
     days = days_between(as_date(params.service_as_of), "ServiceStartDate")
     cut = F.col("Cutoff")
     level_cut = F.coalesce(cut.cast("double"), avg_cut)
-    return (last.join(_next_cutoff(cutoffs, "Cutoff"), "Service_Quantity", "left")
+    return (_with_cutoff(last, cutoffs, "Cutoff")
             .select("User_ID",
                     F.when(days > cut, 1).otherwise(0).alias("Service_Churn_Flag"),
                     F.when(days <= level_cut, "Low")

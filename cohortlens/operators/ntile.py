@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 ROWS_PER_RANGE = 2_000_000
 MIN_RANGES = 8
-MAX_RANGES = 1024
+MAX_RANGES = 65_536
 SAMPLE_PER_RANGE = 40
 
 
@@ -124,7 +124,7 @@ def ntiles(df: DataFrame, specs: list[tuple[str, str]], k: int, id_col: str,
     # one bounded sample (about SAMPLE_PER_RANGE rows per range) serves every spec
     value_cols = list(dict.fromkeys(v for _, v in specs))
     sample = base.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(modulus)) == 0) \
-        .select(id_col, *value_cols).collect()
+        .select(id_col, *value_cols).limit(2 * ranges * SAMPLE_PER_RANGE).collect()
     itype = base.schema[id_col].dataType
 
     ranged = base

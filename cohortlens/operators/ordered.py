@@ -4,9 +4,9 @@
 one user holds a large share of all rows, that task sorts and scans the share
 alone. ``group_window`` splits only such hot keys:
 
-1. the heaviest keys above ``hot_rows`` rows are found with a partially
-   aggregated count (at most ``max_hot`` keys, so everything derived from
-   them has a fixed bound);
+1. the keys above ``hot_rows`` rows are found with a partially aggregated
+   count (a job that runs when the query is built; at most ``rows / hot_rows``
+   keys);
 2. a deterministic hash sample of their rows gives split keys on
    ``(key, order...)``; each hot row gets part ``1 + range`` through
    ``ntile.assign_ranges`` (comparison tree, or coarse tree plus broadcast
@@ -28,42 +28,30 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortlens.operators.ntile import assign_ranges, sql_order_key
-from cohortlens.session import app_id
 
 HOT_ROWS = 2_000_000
 ROWS_PER_PART = 1_000_000
-MAX_HOT = 64
-MAX_PARTS = 1024
+MAX_PARTS = 65_536
 SAMPLE_PER_PART = 20
 
 
-_HOT_CACHE: dict[tuple, list[tuple]] = {}
-
-
 def _keys(key) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
-def hot_keys(df: DataFrame, key, hot_rows: int | None = None, max_hot: int | None = None) -> list[tuple]:
-    """(key value, rows) of the heaviest keys above ``hot_rows`` rows
-    (default ``HOT_ROWS``), at most ``max_hot`` (default ``MAX_HOT``) of them:
-    partial aggregation, a few rows to the driver. ``key`` is a column name
-    or a list of names (then the value is a tuple; NULL is a value). Remembered
-    per plan, so several consumers of one input pay once."""
+def hot_keys(df: DataFrame, key, hot_rows: int | None = None) -> list[tuple]:
+    """(key value, rows) of every key above ``hot_rows`` rows (default
+    ``HOT_ROWS``), heaviest first. This runs a job: a partially aggregated
+    count, of which at most ``rows / hot_rows`` rows reach the driver. ``key``
+    is a column name or a list of names (then the value is a tuple; NULL is a
+    value). Pass the result on where several operators read one input."""
     hot_rows = HOT_ROWS if hot_rows is None else hot_rows
-    max_hot = MAX_HOT if max_hot is None else max_hot
-    memo = (app_id(df.sparkSession), df.semanticHash(), tuple(_keys(key)), hot_rows, max_hot)
-    if memo not in _HOT_CACHE:
-        _HOT_CACHE[memo] = _hot_keys(df, key, hot_rows, max_hot)
-    return _HOT_CACHE[memo]
-
-
-def _hot_keys(df: DataFrame, key, hot_rows: int, max_hot: int) -> list[tuple]:
     ks = _keys(key)
     rows = (df.groupBy(*ks).count().where(F.col("count") > hot_rows)
-            .orderBy(F.col("count").desc(), *ks).limit(max_hot).collect())
+            .orderBy(F.col("count").desc(), *ks).collect())
     if isinstance(key, str):
         return [(r[key], r["count"]) for r in rows]
     return [(tuple(r[k] for k in ks), r["count"]) for r in rows]
@@ -103,14 +91,18 @@ def group_window(df: DataFrame, key, order: list[str], lag: list[str] = (), lead
     hot_values = [h[0] for h in hot]
     hot_total = sum(h[1] for h in hot)
     parts = max(2, min(max_parts, math.ceil(hot_total / rows_per_part)))
-    # struct membership treats NULL fields as equal, so a NULL key can be hot
-    is_hot = _key_struct(ks).isin([_lit_struct([v] if isinstance(key, str) else v, key_types)
-                                   for v in hot_values])
+    # rows tied on the order are split too: a hash of the row comes last
+    tie = "_tie"
+    names = df.columns
+    df = _marked(df.withColumn(tie, F.xxhash64(*names)), key, ks, hot_values, key_types)
+    order = [*order, tie]
+    is_hot = F.col("_hot")
     sort_cols = [*ks, *order]
     sort_key = _key_struct(sort_cols)
+    # a hash takes whole sets of equal rows, hence the hard bound on what the driver gets
     modulus = max(1, hot_total // (parts * SAMPLE_PER_PART))
-    rows = (df.where(is_hot & (F.pmod(F.xxhash64(*[F.col(c) for c in sort_cols]), F.lit(modulus)) == 0))
-            .select(sort_key.alias("s")).collect())
+    rows = (df.where(is_hot & (F.pmod(F.xxhash64(F.lit(7), F.col(tie)), F.lit(modulus)) == 0))
+            .select(sort_key.alias("s")).limit(2 * parts * SAMPLE_PER_PART).collect())
     sample = sorted(rows, key=lambda r: tuple(sql_order_key(v) for v in r["s"]))
     picks = sorted({len(sample) * i // parts for i in range(1, parts)} - {0}) if sample else []
     types = [df.schema[c].dataType for c in sort_cols]
@@ -146,7 +138,7 @@ def group_window(df: DataFrame, key, order: list[str], lag: list[str] = (), lead
     j = win.join(F.broadcast(fix), cond, "left")   # bounded: <= parts + hot keys rows
 
     hot_row = F.col("_g_head").isNotNull()
-    rn = (F.coalesce(F.col("_off"), F.lit(0)) + F.col("_w_rn")).cast("int")
+    rn = F.coalesce(F.col("_off"), F.lit(0)) + F.col("_w_rn")
     out = [rn.alias("_rn")]
     for c in lag:
         out.append(F.when((F.col("_w_rn") == 1) & F.col("_prev_tail").isNotNull(), F.col("_prev_tail")[c])
@@ -161,12 +153,27 @@ def group_window(df: DataFrame, key, order: list[str], lag: list[str] = (), lead
                    .otherwise(F.col(f"_w_second_{c}")).alias(f"_second_{c}"))
     out.append(F.when(hot_row, F.col("_w_last") & F.col("_g_last_part")).otherwise(F.col("_w_last"))
                .alias("_is_last"))
-    return j.select(*[df[c] for c in df.columns], *out)
+    return j.select(*names, *out)
+
+
+def _marked(df: DataFrame, key, ks: list[str], values: list, types: list) -> DataFrame:
+    """Adds ``_hot``. A few keys are a literal list; more are a broadcast table
+    (one row per key of more than ``HOT_ROWS`` rows)."""
+    rows = [(v,) if isinstance(key, str) else tuple(v) for v in values]
+    if len(rows) <= 64:
+        # struct membership treats NULL fields as equal, so a NULL key can be hot
+        return df.withColumn("_hot", _key_struct(ks).isin([_lit_struct(r, types) for r in rows]))
+    table = df.sparkSession.createDataFrame([(*r, True) for r in rows], T.StructType(
+        [T.StructField(f"_hk{i}", t) for i, t in enumerate(types)] + [T.StructField("_is", T.BooleanType())]))
+    same = F.lit(True)
+    for i, c in enumerate(ks):
+        same = same & F.col(c).eqNullSafe(F.col(f"_hk{i}"))
+    return df.join(F.broadcast(table), same, "left").select(*df.columns, F.col("_is").isNotNull().alias("_hot"))
 
 
 def _window_cols(w, lag, lead, first, second, final: bool) -> list[Column]:
     p = "_" if final else "_w_"
-    cols = [F.row_number().over(w).alias(f"{p}rn")]
+    cols = [F.row_number().over(w).cast("bigint").alias(f"{p}rn")]
     cols += [F.lag(c).over(w).alias(f"{p}prev_{c}") for c in lag]
     cols += [F.lead(c).over(w).alias(f"{p}next_{c}") for c in lead]
     cols += [F.first(c).over(w).alias(f"{p}first_{c}") for c in first]

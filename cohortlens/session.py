@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 DEFAULT_CONF = {
@@ -30,38 +27,9 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
-def app_id(spark: SparkSession) -> str:
-    """Identifier of the running application (for per-session memos)."""
-    try:
-        return spark.sparkContext.applicationId
-    except Exception:  # sessions without a local SparkContext (Spark Connect)
-        return spark.conf.get("spark.app.id", None) or str(id(spark))
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
-    """Return the cluster's checkpoint folder (``spark.checkpoint.dir``).
-
-    Only when none is configured (local tests) is a scratch folder created.
-    Sessions without a local SparkContext keep the server's setting.
-    """
-    try:
-        sc = spark.sparkContext
-    except Exception:
-        return spark.conf.get("spark.checkpoint.dir", None)
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="cohortlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(configured)
-    return configured
-
-
 def cluster_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict:
     """Settings that keep tasks spill-friendly at a given input size.
 
