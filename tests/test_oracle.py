@@ -1,33 +1,21 @@
-"""Every registered query against its DuckDB oracle on sf0.001 (the driver
+"""Every query of the reference's operators against its DuckDB oracle on sf0.001 (the driver
 repeats this on sf0.01)."""
 
-import datetime as dt
-import decimal
-import math
 import os
 
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from cohortlens.plans.catalog import queries
+from cohortlens.plans.oracle import oracle_sql
+from tools.oracle_check import canon
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
 
 
-def canon(v):
-    if v is None:
-        return "NULL"
-    if isinstance(v, float):
-        return "NaN" if math.isnan(v) else repr(v)
-    if isinstance(v, decimal.Decimal):
-        return repr(float(v))
-    if isinstance(v, (dt.date, dt.datetime)):
-        return v.isoformat()
-    return str(v)
-
-
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
