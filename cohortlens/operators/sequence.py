@@ -84,9 +84,11 @@ def history_array(start="ServiceStartDate", seq="Seq_ID", kind="ServiceType"):
     return F.transform(ordered, lambda x: F.struct(x["t"].alias("ServiceType"), x["s"].alias("ServiceStartDate")))
 
 
-def service_summary(seq: DataFrame, params: Params = DEFAULT) -> DataFrame:
+def service_summary(seq: DataFrame, params: Params = DEFAULT, history: bool = True) -> DataFrame:
     """One row per user: totals, first/last dates, first/second type, median
-    gap, ordered history and what follows the first pivot-type service."""
+    gap, ordered history and what follows the first pivot-type service.
+    ``history`` adds the array of all services: one row then holds a user's
+    whole history, so leave it out where it is not read."""
     pivot = F.col("ServiceType") == params.pivot_service
     return seq.groupBy("User_ID").agg(
         F.sum("Service_Fee_Sum").cast("double").alias("Total_Service_Fee"),
@@ -99,18 +101,17 @@ def service_summary(seq: DataFrame, params: Params = DEFAULT) -> DataFrame:
         F.max("First_Access_Channel").alias("First_Access_Channel"),
         quantile("Days_Since_Last_Service", params.cadence_quantile, params.exact_quantiles,
                  params.approx_accuracy).cast("int").alias("Median_Days_Between_Services"),
-        history_array().alias("All_Service_Types"),
+        *([history_array().alias("All_Service_Types")] if history else []),
         first_in_order("Next_Service_Type", *_ORDER, where=pivot).alias("Post_Telehealth_Service"),
         first_in_order(days_between("Next_Service_Start_Date", "ServiceStartDate"), *_ORDER,
                        where=pivot).alias("Days_After_Telehealth"),
     )
 
 
-def history_rows(summary: DataFrame) -> DataFrame:
-    """The ordered history exploded back to rows (user, position, type, date)."""
-    return summary.select("User_ID", F.posexplode("All_Service_Types").alias("Position", "h")).select(
-        "User_ID", (F.col("Position") + 1).alias("Position"),
-        F.col("h.ServiceType").alias("ServiceType"), F.col("h.ServiceStartDate").alias("ServiceStartDate"))
+def history_rows(seq: DataFrame) -> DataFrame:
+    """The ordered history as rows (user, position, type, date), from the
+    sequence's own ordinal: no user's history meets in one row."""
+    return seq.select("User_ID", F.col("Service_Quantity").alias("Position"), "ServiceType", "ServiceStartDate")
 
 
 def journey_transitions(seq: DataFrame) -> DataFrame:

@@ -88,7 +88,8 @@ def _status(spark, sf_dir):
 
 @register("activity_flags")
 def _flags(spark, sf_dir):
-    return _rparts(spark, sf_dir)["flags"]
+    t = _t(spark, sf_dir)
+    return segments.activity_flags(segments.activity_status(t.users, t.services, t.app_usage))
 
 
 @register("age_bracket")
@@ -125,6 +126,7 @@ def _cparts(spark, sf_dir):
 
 @register("service_sequence")
 def _sequence(spark, sf_dir):
+    # The columns of the sequence
     seq = sequence.service_sequence(_t(spark, sf_dir).services)
     return seq.select("User_ID", "ServiceStartDate", "ServiceEndDate", "ServiceType", "AccessChannel",
                       F.col("Service_Fee_Sum").cast("double").alias("Service_Fee_Sum"), "Services", "First_Service",
@@ -134,7 +136,7 @@ def _sequence(spark, sf_dir):
 
 @register("gap_cutoffs")
 def _cutoffs(spark, sf_dir):
-    return _cparts(spark, sf_dir)["cutoffs"]
+    return churn.gap_cutoffs(sequence.service_sequence(_t(spark, sf_dir).services), P)
 
 
 @register("service_churn")
@@ -154,21 +156,23 @@ def _campaign_totals(spark, sf_dir):
 
 @register("service_summary")
 def _summary(spark, sf_dir):
-    return _cparts(spark, sf_dir)["service_summary"].withColumn("All_Service_Types", reports.history_text())
+    return sequence.service_summary(sequence.service_sequence(_t(spark, sf_dir).services), P).withColumn("All_Service_Types", reports.history_text())
 
 
 @register("service_history")
 def _history(spark, sf_dir):
-    return sequence.history_rows(_cparts(spark, sf_dir)["service_summary"])
+    return sequence.history_rows(sequence.service_sequence(_t(spark, sf_dir).services))
 
 
-def churn_table(spark, sf_dir):
-    return reports.churn_table(_t(spark, sf_dir), P)
+def churn_table(spark, sf_dir, history: bool = False):
+    """The churn table; the history array only where it is part of the result."""
+    t = _t(spark, sf_dir)
+    return reports.churn_table(t, P, reports.churn_parts(t, P, history=history))
 
 
 @register("churn_table")
 def _churn_table(spark, sf_dir):
-    return churn_table(spark, sf_dir).withColumn("All_Service_Types", reports.history_text())
+    return churn_table(spark, sf_dir, history=True).withColumn("All_Service_Types", reports.history_text())
 
 
 @register("status_share")
@@ -178,13 +182,13 @@ def _status_share(spark, sf_dir):
 
 @register("status_profile")
 def _status_profile(spark, sf_dir):
-    return reports.status_profile(churn_table(spark, sf_dir))
+    return reports.status_profile(churn_table(spark, sf_dir), P)
 
 
 @register("at_risk_cohorts")
 def _at_risk(spark, sf_dir):
     t = _t(spark, sf_dir)
-    return reports.at_risk_cohorts(t, reports.churn_table(t, P))
+    return reports.at_risk_cohorts(t, churn_table(spark, sf_dir))
 
 
 @register("churn_truth_table")

@@ -7,15 +7,14 @@ does not share a common sub-plan whose consumers prune different columns.
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.config import DEFAULT, REPORT_LABELS, TABLE_LABELS, Params
 from cohortlens.functions import ratio, round_half_up
 from cohortlens.operators import attribution as attr_ops
-from cohortlens.operators import churn, quality, scoring, segments, sequence
+from cohortlens.operators import churn, quality, scoring, segments, selection, sequence
 from cohortlens.sources.tables import Tables
 
 
@@ -30,6 +29,7 @@ def check_contracts(t: Tables) -> None:
     quality.assert_unique(t.users, "User_ID")
     quality.assert_unique(t.app_usage, "User_ID")
     quality.assert_unique(t.services.where(F.col("Service_ID").isNotNull()), "Service_ID")
+    quality.assert_unique(t.campaigns, "Campaign_ID")
 
 
 def null_profiles(t: Tables) -> dict[str, DataFrame]:
@@ -45,7 +45,7 @@ def key_checks(t: Tables) -> dict[str, DataFrame]:
 # ---------------------------------------------------------------- churn model
 
 
-def churn_parts(t: Tables, params: Params = DEFAULT, persist: bool = True) -> dict[str, DataFrame]:
+def churn_parts(t: Tables, params: Params = DEFAULT, persist: bool = True, history: bool = True) -> dict[str, DataFrame]:
     seq = sequence.service_sequence(t.services)
     if persist:
         seq = seq.persist(params.storage())
@@ -56,11 +56,12 @@ def churn_parts(t: Tables, params: Params = DEFAULT, persist: bool = True) -> di
         "service_churn": churn.service_churn(seq, cut, params),
         "app_churn": churn.app_churn(t.app_usage, params),
         "campaign_totals": churn.campaign_totals(t.responses),
-        "service_summary": sequence.service_summary(seq, params),
+        "service_summary": sequence.service_summary(seq, params, history),
         "app_summary": churn.app_summary(t.app_usage, params),
     }
 
 
+# The columns of the churn table, in order.
 CHURN_COLUMNS = [
     "User_ID", "Final_Churn_Flag", "UserStatus", "Service_Churn_Flag", "Service_Churn_Level",
     "Days_Since_App_Activity", "App_Churn_Flag", "App_Churn_Level", "Campaign_Responses",
@@ -89,7 +90,7 @@ def churn_table(t: Tables, params: Params = DEFAULT, parts: dict | None = None)
     j = j.select("*", *[F.when(has_app, e).alias(n) for n, e in churn.app_churn_columns(params=params).items()])
     j = j.withColumn("UserStatus", segments.status_from_markers(F.col("_ss").isNotNull(), has_app, TABLE_LABELS))
     j = j.withColumn("Final_Churn_Flag", churn.final_churn_flag())
-    return j.select(*CHURN_COLUMNS)
+    return j.select(*[c for c in CHURN_COLUMNS if c in j.columns])
 
 
 def history_text(col: str = "All_Service_Types"):
@@ -106,14 +107,17 @@ def status_share(churn_tbl: DataFrame) -> DataFrame:
     return g.select("UserStatus", "Users", round_half_up(ratio(F.col("Users"), total), 4).alias("Share"))
 
 
-def status_profile(churn_tbl: DataFrame) -> DataFrame:
-    """Per status: mean of per-user median cadence, mean fee and mean app
+def status_profile(churn_tbl: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """Per status: mean of per-user median cadence, median fee and mean app
     recency (users without the measure are skipped)."""
-    return churn_tbl.groupBy("UserStatus").agg(
+    facts = churn_tbl.select("UserStatus", "Median_Days_Between_Services", "Total_Service_Fee", "Days_Since_App_Activity") \
+        .persist(params.storage())
+    means = facts.groupBy("UserStatus").agg(
         F.count(F.lit(1)).alias("Users"),
         round_half_up(F.avg("Median_Days_Between_Services"), 2).alias("Avg_Days_Between_Services"),
-        round_half_up(F.avg("Total_Service_Fee"), 2).alias("Avg_Service_Fee"),
         round_half_up(F.avg("Days_Since_App_Activity"), 2).alias("Avg_Days_Since_App_Activity"))
+    fees = selection.group_median(facts, "UserStatus", "Total_Service_Fee", "Median_Service_Fee")
+    return means.join(F.broadcast(fees), "UserStatus", "left")  # a row per status
 
 
 def at_risk_cohorts(t: Tables, churn_tbl: DataFrame) -> DataFrame:
@@ -205,11 +209,27 @@ def app_adoption_by_age(t: Tables) -> DataFrame:
 def rfm_parts(t: Tables, params: Params = DEFAULT, **ntile_kw) -> dict:
     """Both RFM models. Their n-tiles run a few small preparatory jobs each
     (count, sample, range sizes); the two models are independent, so their
-    jobs are submitted from two driver threads and overlap."""
-    with ThreadPoolExecutor(max_workers=2) as pool:
-        svc = pool.submit(scoring.rfm_service, t.services, params, **ntile_kw)
-        app = pool.submit(scoring.rfm_app, t.app_usage, params, **ntile_kw)
-        return {"service": svc.result(), "app": app.result()}
+    jobs are submitted from two driver threads, which keep the caller's job
+    group and pool, and overlap.  Fails when app usage repeats a user."""
+    quality.assert_unique(t.app_usage, "User_ID")
+    out: dict = {}
+
+    def run(name, model, table):
+        try:
+            out[name] = model(table, params, **ntile_kw)
+        except Exception as error:  # raised again by the caller's thread
+            out[name] = error
+
+    threads = [InheritableThread(target=run, args=args) for args in (
+        ("service", scoring.rfm_service, t.services), ("app", scoring.rfm_app, t.app_usage))]
+    for thread in threads:
+        thread.start()
+    for thread in threads:
+        thread.join()
+    for result in out.values():
+        if isinstance(result, Exception):
+            raise result
+    return out
 
 
 def rfm_table(t: Tables, params: Params = DEFAULT, ordered: bool = False, **ntile_kw) -> DataFrame:
