@@ -12,9 +12,11 @@ unique key ``(v, id)`` is cut into B ranges instead:
    (built-in expressions only, none growing with B);
 3. rows per range are counted (B small rows to the driver) and turned into
    offsets;
-4. ``row_number`` inside each range plus the range's offset is the global
-   0-based rank r, and the tile follows from r, n and k exactly as SQL's
-   NTILE assigns it (the first n mod k tiles get one extra row).
+4. the ranks at which SQL's NTILE starts its tiles are known from n and k
+   (the first n mod k tiles get one extra row); only the ranges that hold
+   such a rank are sorted, and the k - 1 boundary keys come to the driver;
+5. each row's tile is the number of boundary keys up to its own key, plus 1:
+   the result has no window and no shuffle.
 
 Splitting on ``(v, id)`` rather than ``v`` spreads heavy ties over several
 ranges. Struct comparison puts NULL first, as ``ORDER BY v ASC`` does. Nothing
@@ -97,14 +99,11 @@ def assign_ranges(df: DataFrame, key: Column, split_values: list[tuple], types:
     return joined.drop("_rc_row", "_rkey", "_rc", "_lo", "_hi")
 
 
-def _tile(rank: str, n: int, k: int) -> Column:
-    """SQL NTILE from a 0-based global rank column (integer division only)."""
+def _tile_starts(n: int, k: int) -> list[int]:
+    """0-based global ranks at which the tiles 2..k of ``NTILE(k)`` begin: the
+    first ``n mod k`` tiles hold one row more."""
     q, rem = divmod(n, k)
-    big = rem * (q + 1)
-    if q == 0:
-        return F.expr(f"`{rank}` + 1").cast("int")
-    return F.expr(f"CASE WHEN `{rank}` < {big} THEN `{rank}` div {q + 1} + 1 "
-                  f"ELSE (`{rank}` - {big}) div {q} + {rem + 1} END").cast("int")
+    return [s for s in ((t * q + min(t, rem)) for t in range(1, k)) if s < n]
 
 
 def ntiles(df: DataFrame, specs: list[tuple[str, str]], k: int, id_col: str,
@@ -112,8 +111,9 @@ def ntiles(df: DataFrame, specs: list[tuple[str, str]], k: int, id_col: str,
            max_ranges: int = MAX_RANGES, persist: bool | StorageLevel = True) -> DataFrame:
     """Add one ``NTILE(k)`` column per ``(out_name, value_col)`` spec, each
     ordered by ``value_col ASC NULLS FIRST, id_col``. The input is read by
-    four jobs, so it is persisted (``persist``: True, False or a
-    StorageLevel)."""
+    several jobs, so it is persisted (``persist``: True, False or a
+    StorageLevel). The result itself has no window and no shuffle: each row is
+    compared with the ``k - 1`` boundary keys."""
     level = StorageLevel.MEMORY_AND_DISK if persist is True else persist
     base = df.persist(level) if level else df
     n = base.count()
@@ -139,15 +139,27 @@ def ntiles(df: DataFrame, specs: list[tuple[str, str]], k: int, id_col: str,
     counted = ranged.select(F.explode(F.array(*[F.struct(F.lit(j).alias("d"), F.col(f"_r{j}").alias("r"))
                                                 for j in range(len(specs))])).alias("x")) \
         .groupBy("x.d", "x.r").count().collect()
-    out = ranged
+    out = base
     for j, (name, v) in enumerate(specs):
         sizes = {row["r"]: row["count"] for row in counted if row["d"] == j}
-        offsets, acc = [], 0
+        # the range and the place in it of the first row of each tile
+        places, acc, starts = [], 0, _tile_starts(n, k)
         for r in range(max(sizes) + 1):
-            offsets.append(acc)
+            places += [(r, s - acc + 1) for s in starts if acc <= s < acc + sizes.get(r, 0)]
             acc += sizes.get(r, 0)
         w = Window.partitionBy(f"_r{j}").orderBy(F.col(v).asc_nulls_first(), F.col(id_col).asc_nulls_first())
-        offset = F.element_at(F.lit(offsets).cast("array<bigint>"), F.col(f"_r{j}") + 1)
-        out = out.withColumn("_rank", (offset + F.row_number().over(w) - 1).cast("long"))
-        out = out.withColumn(name, _tile("_rank", n, k)).drop("_rank")
-    return out.drop(*[f"_r{j}" for j in range(len(specs))])
+        if not places:
+            out = out.withColumn(name, F.lit(1))
+            continue
+        near = ranged.where(F.col(f"_r{j}").isin([r for r, _ in places])).select(
+            f"_r{j}", v, id_col, F.row_number().over(w).cast("bigint").alias("_place"))
+        hit = F.lit(False)
+        for r, place in places:
+            hit = hit | ((F.col(f"_r{j}") == r) & (F.col("_place") == place))
+        bounds = sorted(((row[v], row[id_col]) for row in near.where(hit).collect()),
+                        key=lambda kv: (sql_order_key(kv[0]), sql_order_key(kv[1])))
+        vtype = base.schema[v].dataType
+        splits = [F.struct(F.lit(a).cast(vtype).alias("k0"), F.lit(b).cast(itype).alias("k1")) for a, b in bounds]
+        key = F.struct(F.col(v).alias("k0"), F.col(id_col).alias("k1"))
+        out = out.withColumn(name, (_range_of(key, splits) + 1).cast("int"))
+    return out

@@ -65,4 +65,4 @@ def test_range_table_path_with_many_ranges(spark):
     assert 20000 // 20 - 1 > nt.TREE_SPLITS
     assert _ours(df, "v", 5, rows_per_range=20) == _native(df, "v", 5)
     plan = ntiles(df, [("t", "v")], 5, "id", rows_per_range=20)._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan and "SinglePartition" not in plan
+    assert "Window" not in plan and "Exchange" not in plan   # each row is compared with the boundary keys
