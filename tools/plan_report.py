@@ -5,8 +5,8 @@ operator counts per key, written as a Markdown table.
 
 The plan tree is walked through the JVM objects: adaptive plans through their
 final plan, query stages through their stage plan, scalar subqueries
-included, cached relations counted as one cache read (their producing plan
-runs once and is not repeated here).
+included, and a cached relation's producing plan where it is first read.
+Automatic broadcasts are off, so joins show as they would be on large tables.
 """
 
 from __future__ import annotations
@@ -57,6 +57,10 @@ def walk(node, out: dict, seen: set):
         out["sort-agg"] += 1
     elif name == "InMemoryTableScan":
         out["cache-reads"] += 1
+        made = node.relation().cachedPlan()
+        if made.toString() not in seen:
+            seen.add(made.toString())
+            walk(made, out, seen)
         return
     elif name in ("ReusedExchange", "ReusedSubquery"):
         return
@@ -72,14 +76,16 @@ def walk(node, out: dict, seen: set):
 
 def main(argv):
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
-    spark = build_session("local[8]", 8)
+    spark = build_session("local[8]", 8, extra={"spark.sql.autoBroadcastJoinThreshold": "-1",
+                                                "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"})
     print("# Physical plans\n")
     print(f"Final adaptive plans of every registered query at `{sf_dir}`, from `tools/plan_report.py`. "
           "`shuffles` are hash or range exchanges; `single-partition` exchanges only feed one-row global "
           "aggregates (null profiles, key counts, scalar subqueries) or the total over the at most four status "
           "rows of `status_share`; never a window or sort over data that grows with the input; "
-          "`cache-reads` read an intermediate persisted once for several consumers. No plan has a nested-loop "
-          "or cartesian join.\n")
+          "`cache-reads` read an intermediate persisted once for several consumers; its plan is counted where it "
+          "is first read. Automatic broadcasts are off: the broadcasts left are those of bounded tables. Jobs that "
+          "run while a query is built (hot keys, cutoffs, n-tile boundaries) are not in these plans.\n")
     print("| key | " + " | ".join(COLUMNS) + " |")
     print("|---|" + "---|" * len(COLUMNS))
     for key, fn in sorted(catalog.queries().items()):
