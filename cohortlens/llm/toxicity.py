@@ -71,7 +71,7 @@ def _examples(wanted: np.ndarray, terms):
 
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            rows, known = [], set()
             for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist()):
                 rows.append((0, y, lookup.in_text(text), None))
                 if named and text and named.search(text):
@@ -79,7 +79,10 @@ def _examples(wanted: np.ndarray, terms):
                         if named.search(sentence):
                             a = lookup.in_text(sentence)
                             for other in (lambda m: swap[m[0].lower()], lambda m: " "):
-                                rows.append((1, y, a, lookup.in_text(named.sub(other, sentence))))
+                                b = lookup.in_text(named.sub(other, sentence))
+                                if (pair := (a.tobytes(), b.tobytes())) not in known:  # equal pairs count once
+                                    known.add(pair)
+                                    rows.append((1, y, a, b))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()),
                  pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.list_(pa.int64()))],
