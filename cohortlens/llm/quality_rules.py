@@ -29,9 +29,12 @@ WINDOW = 8
 STATS = ("word_length", "symbols", "dup_lines", "repeats", "capitals", "length")
 #: Units of a transformed statistic in fixed point.
 UNIT = 64
-#: Least standard deviation of each transformed statistic: a statistic that is
-#: constant in most rows of a group still needs a scale.
-FLOOR = (0.10, 0.10, 0.15, 0.15, 0.10, 0.75)
+#: Standard deviation added to each transformed statistic against a zero
+#: variance: about two units where the estimate is to set the scale.  Repeated
+#: lines and words are zero in most clean rows, so their estimate has no scale
+#: of its own and one repeated line would reject a text; the length's floor
+#: keeps a group full of copies from rejecting every text of another length.
+FLOOR = (0.03, 0.03, 0.15, 0.15, 0.03, 0.75)
 #: Groups below this many rows are estimated together.
 LEAST_ROWS = 120
 STEPS = 8

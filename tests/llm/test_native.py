@@ -83,6 +83,31 @@ def test_quality_rules(spark):
     assert qr.quality_rules(df.limit(0)).count() == 0
 
 
+def test_quality_rules_against_labels(spark):
+    """Symbol-heavy texts go, texts labelled good stay, on sf0.1's labels."""
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
+    got = qr.quality_rules(docs).where("not base_failed").join(labels, "doc_id", "left") \
+        .select("kept", "quality", F.expr("n_symbols / word_chars").alias("share")).toPandas()
+    kept = lambda where: got[where].kept.mean()
+    assert kept(got.quality == 1) > 0.999
+    assert kept(got.quality == 0) < 0.05
+    assert kept((got.share > 0.05) & (got.share <= 0.1)) < 0.1
+    assert kept(got.share > 0.1) < 0.01
+    assert kept(got.share == 0) > 0.999
+
+
+def test_copies_do_not_reject_other_texts(spark):
+    rng = random.Random(9)
+    say = lambda n: " ".join(rng.choice(["alpha", "beta", "The", "of", "delta", "Gamma"]) + str(rng.randrange(99))
+                             for _ in range(n))
+    copy = say(60)
+    data = [(k, copy if k < 240 else say(rng.randrange(30, 200)), "en", "s") for k in range(300)]
+    got = qr.quality_rules(spark.createDataFrame(data, "doc_id long, text string, lang string, source string"))
+    assert got.where("kept").count() >= 297
+
+
 def test_no_python_in_native_plans(spark, capsys):
     df = spark.createDataFrame(rows(), "doc_id long, text string, lang string, source string, grp string")
     for result in (qr.quality_rules(df), qr.text_statistics(df), secret_scan(df)):
