@@ -2,9 +2,9 @@
 
 Test items are taken in blocks of bounded size.  A first pass over all texts
 counts, for every three-word gram of the block, the documents that hold it.
-In each window of consecutive grams of an item the rarest becomes a seed, so
-every stretch of ``seed_words + window - 1`` unedited words holds one, however
-common or widely copied the item is.  A second pass joins texts to items on
+In each window of consecutive grams of an item the rarest of those that some
+document holds becomes a seed, so every stretch of ``seed_words + window - 1``
+unedited words holds one, however common or widely copied the item is.  A second pass joins texts to items on
 the seeds; where two or more seeds of an item fall close together, the passage
 around them is aligned with the item word by word (Smith-Waterman).  A match
 is a passage whose score reaches ``threshold`` of the item's own.
@@ -25,6 +25,9 @@ from .words import gram_hashes, word_hashes
 #: Words of test items handled at once: the size bound of what every task gets.
 BLOCK_WORDS = 1_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: The count of a gram that no document holds: above all others, so such a gram
+#: takes no seed from the grams that an edited copy still holds.
+ABSENT = np.iinfo(np.int64).max
 SCHEMA = "doc_id long, item_id long, score double, start_word long, n_words long, n_seeds long"
 
 
@@ -68,11 +71,12 @@ class Block:
         self.bitmap[self.grams >> np.uint64(44)] = True
 
     def keep_rarest(self, counts: dict[int, int], window: int) -> None:
-        number = np.array([counts.get(int(g), 0) for g in self.grams.view(np.int64)])
+        number = np.array([counts.get(int(g), ABSENT) for g in self.grams.view(np.int64)])
         keep = np.zeros(self.grams.size, bool)
         order = np.lexsort((self.at, self.item))
         for part in np.split(order, np.flatnonzero(np.diff(self.item[order])) + 1):
             keep[part[_rarest(number[part], window)]] = True
+        keep &= number != ABSENT
         self._index(self.grams[keep], self.item[keep], self.at[keep])
 
     def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

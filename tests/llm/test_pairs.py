@@ -153,3 +153,24 @@ def test_contamination_finds_copies_and_edited_copies(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 100)  # several blocks of items
     assert {(r.doc_id, r.item_id) for r in find_contamination(df, bench).collect()} == set(want.items())
     assert find_contamination(df.limit(0), bench).count() == 0 == find_contamination(df, bench.limit(0)).count()
+
+
+@pytest.mark.parametrize("step,share", [(5, 0), (0, 0.15), (0, 0.2), (0, 0.25)])
+def test_items_held_only_as_edited_copies_are_found(spark, step, share):
+    """Brute-force Smith-Waterman on copies with every fifth word, or 15-25% of
+    the words, edited; the corpus has no other copy."""
+    rng = random.Random(11)
+    say = lambda n: [rng.choice(WORDS) for _ in range(n)]
+    items, docs, want = [], [], set()
+    for k in range(60):
+        item = say(rng.randrange(15, 40))
+        at = range(step - 1, len(item), step) if step else rng.sample(range(len(item)), round(share * len(item)))
+        copy = [f"new{k}x{i}" if i in at else w for i, w in enumerate(item)]
+        words = say(30) + copy + say(30)
+        items.append((k, " ".join(item)))
+        docs.append((k, " ".join(words)))
+        if smith_waterman(item, words) >= len(item):
+            want.add((k, k))
+    assert len(want) > 50
+    got = find_contamination(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want
