@@ -5,9 +5,10 @@ counts, for every three-word gram of the block, the documents that hold it.
 In each window of consecutive grams of an item the rarest of those that some
 document holds becomes a seed, so every stretch of ``seed_words + window - 1``
 unedited words holds one, however common or widely copied the item is.  A second pass joins texts to items on
-the seeds; where two or more seeds of an item fall close together, the passage
-around them is aligned with the item word by word (Smith-Waterman).  A match
-is a passage whose score reaches ``threshold`` of the item's own.
+the seeds; where two or more seeds of an item fall close together (one, where
+the item has no more or at most ``seed_words + 2`` words), the passage around
+them is aligned with the item word by word (Smith-Waterman).  A match is a
+passage whose score reaches ``threshold`` of the item's own.
 """
 
 from __future__ import annotations
@@ -67,6 +68,7 @@ class Block:
     def _index(self, grams: np.ndarray, item: np.ndarray, at: np.ndarray) -> None:
         order = np.argsort(grams, kind="stable")
         self.grams, self.item, self.at = grams[order], item[order], at[order]
+        self.n_seeds = np.bincount(item, minlength=len(self.items))
         self.bitmap = np.zeros(1 << 20, bool)
         self.bitmap[self.grams >> np.uint64(44)] = True
 
@@ -92,7 +94,7 @@ class Block:
         """``(item_id, score, start_word, n_words, n_seeds)`` of the best
         passage for each item that reaches the threshold."""
         place, entry = self.hits(gram_hashes(words, self.seed_words))
-        if place.size < 2:
+        if not place.size:
             return []
         item, begin = self.item[entry], place - self.at[entry]
         order = np.lexsort((begin, item))
@@ -104,7 +106,7 @@ class Block:
             k = int(item[group[0]])
             item_id, own = self.items[k]
             seeds = np.unique(entry[group]).size
-            if seeds < 2 and own.size > self.seed_words + 2:
+            if seeds < min(2, self.n_seeds[k]) and own.size > self.seed_words + 2:
                 continue
             pad = max(3, own.size // 3)
             low = max(0, int(begin[group[0]]) - pad)

@@ -174,3 +174,26 @@ def test_items_held_only_as_edited_copies_are_found(spark, step, share):
     assert len(want) > 50
     got = find_contamination(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string"))
     assert {(r.doc_id, r.item_id) for r in got.collect()} == want
+
+
+def test_short_items_copied_word_for_word_are_found(spark):
+    """Items of 3-14 words, one copy each, with and without a rarest gram in
+    the middle (the other grams are held by further documents)."""
+    rng = random.Random(13)
+    say = lambda n: [rng.choice(WORDS) for _ in range(n)]
+    items, docs, want = [], [], set()
+    for k in range(72):
+        n = 3 + k % 12
+        item = [f"i{k}w{i}" for i in range(n)]
+        items.append((k, " ".join(item)))
+        docs.append((k, " ".join(say(40) + item + say(40))))
+        want.add((k, k))
+        if k >= 36:  # all grams but the one in the middle twice more
+            middle = (n - 2) // 2
+            for d in (100 + k, 200 + k):
+                docs.append((d, " ".join(item[:middle + 2] + say(20) + item[middle + 1:])))
+    got = {(r.doc_id, r.item_id, r.score) for r in
+           find_contamination(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {(d, k) for d, k, score in got if d == k and score == 1.0} == want
+    by, words = dict(docs), dict(items)
+    assert all(smith_waterman(words[k].split(), by[d].split()) == score * 2 * len(words[k].split()) for d, k, score in got)
