@@ -215,3 +215,42 @@ def test_encoding_equals_tiktoken(spark, monkeypatch):
     got = [tuple(r) for r in digests(encode_and_decode(df, RANKS, public_tokenizers.PATTERN)).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert digests(encode_and_decode(df.limit(0), RANKS, public_tokenizers.PATTERN)).count() == 0
+
+# ---------------------------------------------------------------- equal polynomial hashes
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_texts_with_equal_polynomials_stay_apart(spark):
+    """Thue-Morse words and their complements agree under every polynomial
+    hash modulo 2^64."""
+    from cohortlens.llm.catalog import word_tokenizer
+    from cohortlens.llm.jaccard_join import jaccard_join, keep_one
+    from cohortlens.llm.token_records import PieceEncoder
+    from cohortlens.llm.words import word_hashes
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    one = thue_morse(2048)
+    other = one.translate(str.maketrans("ab", "ba"))
+    assert len(set(word_hashes(f"{one} {other} {one}").tolist())) == 2
+    encode = Tokenizer.from_file(word_tokenizer()).encode
+    texts = [f"{one} {other}", f"{other} {one} x", one, other, "a\u2605b \u2605 c", "\u2605"]
+    assert [x.tolist() for x in PieceEncoder(word_tokenizer()).texts(pa.array(texts))] \
+        == [encode(t, add_special_tokens=False).ids for t in texts]
+    df = spark.createDataFrame([(1, one), (2, other), (3, one)], "doc_id long, text string")
+    assert sorted(tuple(r) for r in jaccard_join(df).collect()) == [(1, 1, 1, 0), (2, 2, 2, 0), (3, 1, 1, 0)]
+    assert sorted(r.doc_id for r in keep_one(df).collect()) == [1, 2]
+
+
+def test_keep_one_judges_every_text_of_a_repeated_id(spark):
+    from cohortlens.llm.jaccard_join import keep_one
+
+    a, b = ("one two three four five six seven", "quite another text with eight words in it")
+    rows = [(1, a, "s"), (1, b, "t"), (1, a, "s"), (2, b, "s"), (2, "a third text that stands by itself here", "s"),
+            (3, a.upper(), "s"), (4, "!", "s"), (4, "?", "s"), (4, None, "s"), (None, a, "s"), (None, a, "s")]
+    kept = sorted(((r.doc_id, r.text) for r in keep_one(spark.createDataFrame(rows, "doc_id long, text string, key string"))
+                   .collect()), key=str)
+    assert kept == sorted([(1, a), (1, b), (2, rows[4][1]), (4, "!"), (4, "?"), (4, None), (None, a), (None, a)], key=str)
