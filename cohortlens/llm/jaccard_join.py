@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import staged
 from .components import connected_components
@@ -235,6 +236,24 @@ def near_links(docs: DataFrame, threshold: float = 0.8, shingle_words: int = 5,
     return signed.select("doc_id", "key"), degrees, edges
 
 
+def _text_classes(members: DataFrame, degree: DataFrame, edges: DataFrame) -> DataFrame:
+    """``key, text_id, class_id, n_links, keeper`` of every text class: the
+    least doc_ids of the class and of its component, and whether it is the
+    first class of its component (by doc_id, then key)."""
+    roots = connected_components(edges)
+    texts = (members.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull())
+             .groupBy("key").agg(F.min("doc_id").alias("text_id"))
+             .join(roots.withColumnRenamed("node", "key"), "key", "left").join(degree, "key", "left")
+             .withColumn("root", F.coalesce("root", "key")))
+    groups = texts.groupBy("root").agg(F.min(F.struct("text_id", "key")).alias("least"))
+    # classes without a link need no join on their root
+    linked = texts.where(F.col("n_links").isNotNull()).join(groups, "root").select(
+        "key", "text_id", F.col("least.text_id").alias("class_id"), "n_links", (F.col("least.key") == F.col("key")).alias("keeper"))
+    alone = texts.where(F.col("n_links").isNull()).select("key", "text_id", F.col("text_id").alias("class_id"),
+                                                         F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("keeper"))
+    return staged(linked.unionByName(alone), "texts")
+
+
 def jaccard_join(docs: DataFrame, threshold: float = 0.8, shingle_words: int = 5,
                  recall: float = 0.9995) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, class_id, text_id, n_links``.
@@ -244,20 +263,11 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, shingle_words: int = 5
     ``n_links`` the number of other texts that this text was verified to
     match.  NULL and word-less texts match nothing: they are their own class.
     A NULL doc_id has NULL ids and no links.  Repeated rows give repeated
-    rows of one class; an empty table gives an empty result.
+    rows of one class; an empty table gives an empty result.  Columns besides
+    ``doc_id`` and ``text`` are not read, whatever their names.
     """
     members, degree, edges = near_links(docs, threshold, shingle_words, recall)
-    roots = connected_components(edges)
-    texts = (members.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull())
-             .groupBy("key").agg(F.min("doc_id").alias("text_id"))
-             .join(roots.withColumnRenamed("node", "key"), "key", "left").join(degree, "key", "left")
-             .withColumn("root", F.coalesce("root", "key")))
-    groups = texts.groupBy("root").agg(F.min("text_id").alias("class_id"))
-    # classes without a link need no join on their root
-    linked = texts.where(F.col("n_links").isNotNull()).join(groups, "root").select("key", "text_id", "class_id", "n_links")
-    alone = texts.where(F.col("n_links").isNull()).select("key", "text_id", F.col("text_id").alias("class_id"),
-                                                         F.lit(0).cast("long").alias("n_links"))
-    known = staged(linked.unionByName(alone), "texts")
+    known = _text_classes(members, degree, edges)
     members = members.withColumn("key", F.when(F.col("doc_id").isNotNull(), F.col("key")))
     return members.join(known, "key", "left").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"),
@@ -265,16 +275,39 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, shingle_words: int = 5
         F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
+def _with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the key of the text class as the last column; a text without a word
+    gets a key of its own bytes."""
+    for batch in batches:
+        keys = []
+        for text in batch.column("text").to_pylist():
+            words = word_hashes(text)
+            keys.append(sequence_key(words) if words.size else b"no word " + (text or "").encode())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())],
+                                         names=[*batch.schema.names, "__key"])
+
+
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row of each class: the one whose doc_id is the class
-    id.  Rows with a NULL doc_id stay."""
-    joined = jaccard_join(docs, **options)
-    verdict = staged(joined.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.count("*").alias("rows")),
-                     "classes")
-    gone = verdict.where(F.col("doc_id") != F.col("class_id")).select("doc_id")
-    repeated = verdict.where((F.col("rows") > 1) & F.col("doc_id").isNotNull()).select("doc_id")
-    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """``docs`` with one row of each class: of the texts of a class the one
+    with the least doc_id stays.
+
+    Rows with a NULL doc_id and texts without a word stay, NULL and empty ones
+    included.  Where a doc_id is repeated, each of its texts is judged by
+    itself, and equal texts under one doc_id count once; no text leaves that no
+    kept text resembles.  An empty table stays empty.
+    """
+    members, degree, edges = near_links(docs, **options)
+    known = _text_classes(members, degree, edges)
+    stays = F.coalesce(F.col("keeper") & (F.col("doc_id") == F.col("text_id")), F.col("key").isNull())
+    judged = staged(members.where(F.col("doc_id").isNotNull()).join(known, "key", "left")
+                    .select("doc_id", "key", stays.alias("stays")), "judged")
+    each = judged.groupBy("doc_id").agg(F.count("*").alias("rows"), F.bool_and("stays").alias("stays"))
+    repeated = each.where(F.col("rows") > 1).select("doc_id")
     if repeated.isEmpty():
-        return left
-    return left.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(
-        left.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+        return docs.join(each.where(~F.col("stays")).select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    once = docs.join(each.where(~F.col("stays") | (F.col("rows") > 1)).select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    gone = judged.where(~F.col("stays")).join(repeated, "doc_id", "left_semi").select("doc_id", F.col("key").alias("__key"))
+    some = docs.join(repeated, "doc_id", "left_semi").select(docs.columns)
+    keyed = some.mapInArrow(_with_key, T.StructType([*some.schema.fields, T.StructField("__key", T.BinaryType())]))
+    return once.unionByName(keyed.join(gone.distinct(), ["doc_id", "__key"], "left_anti")
+                            .dropDuplicates(["doc_id", "__key"]).select(docs.columns))

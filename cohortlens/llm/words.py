@@ -3,7 +3,8 @@
 A word is a maximal run of ASCII letters, digits and non-ASCII characters of
 the lower-cased text.  Word hashes are 64-bit polynomial hashes of the UTF-8
 bytes, taken from prefix sums, so a text costs a fixed number of numpy passes
-and no Python step per word.  Texts are cut at word ends into segments of
+and no Python step per word; words of more than ``LONG`` bytes, which could be
+chosen so that their polynomials agree, are hashed by BLAKE2b instead.  Texts are cut at word ends into segments of
 about ``SEGMENT`` bytes, which bounds the memory of the passes.
 """
 
@@ -14,6 +15,7 @@ import hashlib
 import numpy as np
 
 SEGMENT = 1 << 20
+LONG = 64
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _WORD = np.zeros(256, bool)
@@ -30,11 +32,6 @@ def _power_table(base: int, n: int) -> np.ndarray:
     return table[:n]
 
 
-def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` powers of the base of the byte hashes, and of its inverse."""
-    return _power_table(_BASE, n), _power_table(_INVERSE, n)
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: spreads every input bit over the whole hash."""
     h = h ^ (h >> np.uint64(32))
@@ -69,7 +66,11 @@ def _segment_hashes(raw: np.ndarray, stems: tuple[int, ...] = ()) -> list[np.nda
     sums = np.zeros(raw.size + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _power_table(_BASE, raw.size), out=sums[1:])
     inverse = _power_table(_INVERSE, raw.size)
-    out = [mix((sums[ends] - sums[starts]) * inverse[starts])]
+    words = mix((sums[ends] - sums[starts]) * inverse[starts])
+    for k in np.flatnonzero(ends - starts > LONG):
+        digest = hashlib.blake2b(raw[starts[k]:ends[k]].tobytes(), digest_size=8).digest()
+        words[k] = int.from_bytes(digest, "little")
+    out = [words]
     for k in stems:
         at = starts[ends - starts > k]
         out.append(mix((sums[at + k] - sums[at]) * inverse[at] + np.uint64(k * 0x51ED270B)))
