@@ -10,26 +10,32 @@ earlier campaign vanishes instead of becoming "not converted". Pairs without
 any service in the window stay with ``Converted = 0``. Ties: service start
 then ``Service_ID``; outreach date then ``Campaign_ID``.
 
-Execution:
-
-* only days matter to the attribution table: services are reduced to the
-  first per user and day, touches to the first campaign per user and day, and
-  the day-level answers are joined back to the pairs, so no pair meets every
-  service of its window (``attribution_base`` does, as that is its output);
-* the range join is an equi join on ``(User_ID, time bin)`` with bins of
-  ``window + 1`` days; a pair's window touches at most two bins, so each
-  service is offered to its own bin and the one before (the service side is
-  the smaller one). A user with a long history is thus split into many small
-  join groups instead of comparing all its pairs;
-* both "earliest" choices are ``min(struct)`` aggregations, which combine
-  partially before the shuffle, so a hot user or campaign does not land in
-  one task the way a window partition would;
-* all reductions are aggregations that combine before the shuffle.
+Execution of the attribution table: one sweep.
+
+* touches (campaign, user, outreach date) and services lie in one union, dealt
+  by (user, range of days) and sorted once by falling day.  The first service
+  at or after a touch is then a running minimum, and the touch before it the
+  next touch in that order: the service is credited to the touch unless the
+  touch before it also lies within the window.  Every source is read once and
+  no pair of rows is formed;
+* services are reduced to the first per user and day before (map-side
+  combined), so a range of days holds a bounded number of them whatever a
+  user's history, and a user's touches are bounded by the campaigns of the
+  range.  Services of the first ``window`` days of a range also go to the range
+  before, touches of its last ``window`` days to the one after;
+* of a campaign that occurs more than once, dates that repeat are merged
+  before the join and a pair's rows after the sweep, in steps that are planned
+  only where the campaigns hold a repeat.
+
+``attribution_base`` keeps every joined row, as that is its output: an equi
+join on (user, bin of ``window + 1`` days), each service offered to its own bin
+and the one before.  ``touch_matches`` answers the sweep's question by such a
+join of days; the tests hold one against the other.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.config import DEFAULT, Params
@@ -116,20 +122,59 @@ def touch_matches(pairs: DataFrame, services: DataFrame, params: Params = DEFAUL
                     F.when(F.col("_first_date") == F.col("OutreachDate"), F.col("_first")).alias("_credit")))
 
 
+#: Days of one range of the sweep; more ranges copy more border rows.
+RANGE_DAYS = 366
+
+
+def _swept(touches: DataFrame, services: DataFrame, params: Params) -> DataFrame:
+    """``touches`` (with ``User_ID``, ``OutreachDate``, ``Campaign_ID``) with
+    the first service of the window (struct ``_s``) and whether no earlier
+    touch has it (``_first_touch``).  No two touches of a user may agree on
+    date and campaign."""
+    window, width = params.attribution_days, max(RANGE_DAYS, params.attribution_days + 1)
+    start = F.col("ServiceStartDate")
+    ranked = ["ServiceStartDate", "Service_ID"] + [c for c in SERVICE_COLS if c not in ("ServiceStartDate", "Service_ID")]
+    firsts = (services.where(F.col("User_ID").isNotNull() & start.isNotNull())
+              .groupBy("User_ID", "ServiceStartDate").agg(F.min(F.struct(*ranked)).alias("_service")))
+    days = firsts.select("User_ID", F.col("ServiceStartDate").alias("_day"), "_service", F.explode(F.array_distinct(F.array(
+        _bin(start, width), _bin(F.date_sub(start, window), width)))).alias("_range"))
+    date = F.col("OutreachDate")
+    own, after = _bin(date, width), _bin(F.date_add(date, window), width)
+    # a touch without a date meets nothing, and keeps its row
+    places = F.when(after > own, F.array(own, after)).otherwise(F.array(own))
+    marks = touches.select("*", date.alias("_day"), F.explode(places).alias("_range")).withColumn(
+        "_touch", (F.col("_range") == F.coalesce(own, F.col("_range"))) | date.isNull()).withColumn("_touch_day", F.col("_day"))
+    both = marks.unionByName(days, allowMissingColumns=True)
+    order = Window.partitionBy("User_ID", "_range").orderBy(
+        F.col("_day").desc(), F.col("_service").isNull(), F.col("Campaign_ID").desc())
+    swept = both.select(
+        "*", F.min("_service").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_next"),
+        F.expr("lead(_touch_day) IGNORE NULLS OVER (PARTITION BY User_ID, _range "
+               "ORDER BY _day DESC, _service IS NULL, Campaign_ID DESC)").alias("_touch_before"))
+    near = days_between(F.col("_next.ServiceStartDate"), date) <= window
+    own_s = F.when(near, F.col("_next"))
+    earlier = days_between(F.col("_next.ServiceStartDate"), "_touch_before") <= window
+    return swept.where(F.coalesce("_touch", F.lit(False))).select(
+        *touches.columns, own_s.alias("_s"), (~F.coalesce(earlier, F.lit(False))).alias("_first_touch"))
+
+
 def attribution(campaigns: DataFrame, responses: DataFrame, services: DataFrame,
                 params: Params = DEFAULT) -> DataFrame:
     """The attribution table: one row per kept (campaign, user) pair.  Of a
     campaign that occurs more than once, a pair takes the row with the first
     service (none first), then the first outreach date and attributes."""
-    times = campaigns.groupBy("Campaign_ID").agg(F.count(F.lit(1)).alias("_times"))
-    pairs = campaign_pairs(campaigns.join(times, "Campaign_ID"), responses, ["_times"])
-    rows = pairs.join(touch_matches(pairs, services, params), ["User_ID", "OutreachDate"], "left").select(
-        *CAMPAIGN_COLS, "User_ID", *RESPONSE_COLS, *[F.col(f"_s.{c}").alias(c) for c in SERVICE_COLS], "_credit", "_times")
-    order = ["ServiceStartDate", "Service_ID", "OutreachDate"]
-    whole = F.struct(*order, *[c for c in rows.columns if c not in order])
-    repeated = rows.where(F.col("_times") > 1).groupBy(*[F.col(c).alias(f"_{c}") for c in PAIR]).agg(F.min(whole).alias("r"))
-    rows = rows.where(F.col("_times") == 1).unionByName(repeated.select("r.*").select(*rows.columns))
-    out = rows.where(F.col("Service_ID").isNull() | (F.col("_credit") == F.col("Campaign_ID")))
+    repeats = not campaigns.groupBy("Campaign_ID").count().where(F.col("count") > 1).isEmpty()
+    if repeats:
+        rest = [c for c in CAMPAIGN_COLS if c not in ("Campaign_ID", "OutreachDate")]
+        campaigns = campaigns.groupBy("Campaign_ID", "OutreachDate").agg(F.min(F.struct(*rest)).alias("c")).select(
+            "Campaign_ID", "OutreachDate", "c.*")
+    rows = _swept(campaign_pairs(campaigns, responses), services, params).select(
+        *CAMPAIGN_COLS, "User_ID", *RESPONSE_COLS, *[F.col(f"_s.{c}").alias(c) for c in SERVICE_COLS], "_first_touch")
+    if repeats:
+        order = ["ServiceStartDate", "Service_ID", "OutreachDate"]
+        whole = F.struct(*order, *[c for c in rows.columns if c not in order])
+        rows = rows.groupBy(*[F.col(c).alias(f"_{c}") for c in PAIR]).agg(F.min(whole).alias("r")).select("r.*")
+    out = rows.where(F.col("Service_ID").isNull() | F.col("_first_touch"))
     return out.select(*CAMPAIGN_COLS, "User_ID", *RESPONSE_COLS, *SERVICE_COLS,
                       F.when(F.col("Service_ID").isNotNull(), 1).otherwise(0).alias("Converted"))
 
