@@ -15,6 +15,7 @@ from cohortlens.config import DEFAULT, REPORT_LABELS, TABLE_LABELS, Params
 from cohortlens.functions import ratio, round_half_up
 from cohortlens.operators import attribution as attr_ops
 from cohortlens.operators import churn, quality, scoring, segments, selection, sequence
+from cohortlens.sources import schemas
 from cohortlens.sources.tables import Tables
 
 
@@ -32,15 +33,27 @@ def check_contracts(t: Tables) -> None:
     quality.assert_unique(t.campaigns, "Campaign_ID")
 
 
+def null_profile(t: Tables, table: str) -> DataFrame:
+    """Rows and NULLs of one base table; no other table is opened."""
+    return quality.null_profile(getattr(t, table))
+
+
 def null_profiles(t: Tables) -> dict[str, DataFrame]:
-    return {name: quality.null_profile(df) for name, df in t.as_dict().items()}
+    return {name: null_profile(t, name) for name in schemas.BY_NAME}
+
+
+# The key and the two result columns of each check.
+KEY_CHECKS = {"users": ("User_ID", "All_Users", "Distinct_Users"),
+              "services": ("Service_ID", "All_Service_IDs", "Distinct_Service_IDs")}
+
+
+def key_check(t: Tables, table: str) -> DataFrame:
+    """Rows and distinct keys of one base table; no other table is opened."""
+    return quality.key_uniqueness(getattr(t, table), *KEY_CHECKS[table])
 
 
 def key_checks(t: Tables) -> dict[str, DataFrame]:
-    return {
-        "users": quality.key_uniqueness(t.users, "User_ID", "All_Users", "Distinct_Users"),
-        "services": quality.key_uniqueness(t.services, "Service_ID", "All_Service_IDs", "Distinct_Service_IDs"),
-    }
+    return {table: key_check(t, table) for table in KEY_CHECKS}
 
 # ---------------------------------------------------------------- churn model
 

@@ -9,6 +9,11 @@ from pyspark.sql import DataFrame
 from cohortlens.sources import schemas
 
 
+def conform(name: str, df: DataFrame) -> DataFrame:
+    """``df`` with the columns and types of base table ``name``."""
+    return df.select([df[f.name].cast(f.dataType).alias(f.name) for f in schemas.BY_NAME[name].fields])
+
+
 @dataclass(frozen=True)
 class Tables:
     users: DataFrame
@@ -22,8 +27,4 @@ class Tables:
 
     def conformed(self) -> "Tables":
         """Project every table onto its schema's columns and types."""
-        out = {}
-        for name, schema in schemas.BY_NAME.items():
-            df = getattr(self, name)
-            out[name] = df.select([df[f.name].cast(f.dataType).alias(f.name) for f in schema.fields])
-        return Tables(**out)
+        return Tables(**{name: conform(name, df) for name, df in self.as_dict().items()})

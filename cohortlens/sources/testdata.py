@@ -8,13 +8,14 @@ keeps the input's digits, so they are independent of summation order.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.functions.exprs import EXACT
-from cohortlens.sources.tables import Tables
-
-TPCH_TABLES = ("region", "nation", "customer", "supplier", "orders", "lineitem", "events")
+from cohortlens.sources import schemas
+from cohortlens.sources.tables import conform
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -118,14 +119,40 @@ def responses(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
                  F.sum("l_quantity").cast("bigint").alias("EngagementCount")))
 
 
-def load(spark: SparkSession, sf_dir: str) -> Tables:
+class TestTables:
+    """The five base tables derived from a folder's Parquet files.  Each is
+    built when first asked for, so a query opens only the files it reads."""
+
+    __test__ = False  # no test class
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._file = lambda name: _read(spark, sf_dir, name)
+
+    @cached_property
+    def users(self) -> DataFrame:
+        return conform("users", users(self._file("customer"), self._file("nation"), self._file("region")))
+
+    @cached_property
+    def services(self) -> DataFrame:
+        return conform("services", services(self._file("orders")))
+
+    @cached_property
+    def app_usage(self) -> DataFrame:
+        return conform("app_usage", app_usage(self._file("events")))
+
+    @cached_property
+    def campaigns(self) -> DataFrame:
+        return conform("campaigns", campaigns(self._file("supplier")))
+
+    @cached_property
+    def responses(self) -> DataFrame:
+        return conform("responses", responses(self._file("lineitem"), self._file("orders")))
+
+    def as_dict(self) -> dict[str, DataFrame]:
+        return {name: getattr(self, name) for name in schemas.BY_NAME}
+
+
+def load(spark: SparkSession, sf_dir: str) -> TestTables:
     """The five base tables derived from ``sf_dir``'s Parquet files, as lazy
     DataFrames."""
-    t = {n: _read(spark, sf_dir, n) for n in TPCH_TABLES}
-    return Tables(
-        users=users(t["customer"], t["nation"], t["region"]),
-        services=services(t["orders"]),
-        app_usage=app_usage(t["events"]),
-        campaigns=campaigns(t["supplier"]),
-        responses=responses(t["lineitem"], t["orders"]),
-    ).conformed()
+    return TestTables(spark, sf_dir)
