@@ -58,6 +58,8 @@ class Params:
     exact_quantiles: bool = True  # percentile_disc; False -> percentile_approx
     approx_accuracy: int = 10000
     pivot_service: str = TELEHEALTH
+    history_chunk: int = 1000  # services in one row of the chunked history
+    history_limit: int = 100_000  # most services of a user in the one-row history; beyond, it fails
     service_types: tuple = field(default=SERVICE_TYPES)
     # how intermediates read by several consumers are kept (a StorageLevel
     # name); DISK_ONLY suits the full-size service sequence on a cluster

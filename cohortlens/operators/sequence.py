@@ -76,21 +76,52 @@ def service_sequence(services: DataFrame, hot: list | None = None) -> DataFrame:
     )
 
 
-def history_array(start="ServiceStartDate", seq="Seq_ID", kind="ServiceType"):
-    """Aggregate: the user's services as ``ARRAY<STRUCT<ServiceType,
-    ServiceStartDate>>`` in start order."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(start).alias("s"), F.col(seq).alias("q"),
-                                                   F.col(kind).alias("t"))))
-    return F.transform(ordered, lambda x: F.struct(x["t"].alias("ServiceType"), x["s"].alias("ServiceStartDate")))
+# The fields of one service of a history.
+_SERVICE = "struct<ServiceType:string,ServiceStartDate:date>"
+
+
+def history_chunks(seq: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """The ordered history in rows of bounded length: ``User_ID, Chunk`` (from
+    0), ``First_Position``, ``Services`` (number) and ``Service_Types``, the
+    services at these positions in order.  The sequence's own ordinal says
+    which chunk a service belongs to, so a user with many services is dealt
+    over many groups and no array exceeds ``params.history_chunk``."""
+    size = params.history_chunk
+    position = F.col("Service_Quantity")
+    chunk = F.floor((position - 1) / size)
+    items = F.array_sort(F.collect_list(F.struct(position.alias("p"), F.col("ServiceType").alias("t"),
+                                                 F.col("ServiceStartDate").alias("s"))))
+    return seq.groupBy("User_ID", chunk.alias("Chunk")).agg(
+        F.min(position).alias("First_Position"), F.count(F.lit(1)).alias("Services"),
+        F.transform(items, lambda x: F.struct(x["t"].alias("ServiceType"), x["s"].alias("ServiceStartDate")))
+        .cast(f"array<{_SERVICE}>").alias("Service_Types"))
+
+
+def history_arrays(seq: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """``User_ID, All_Service_Types``: the chunks of each user put together in
+    one row.  A user with more than ``params.history_limit`` services makes the
+    query fail with an error that names the user; services beyond the limit are
+    not gathered before that."""
+    chunks = history_chunks(seq, params)
+    last = F.max(F.col("First_Position") + F.col("Services") - 1)
+    parts = F.array_sort(F.collect_list(F.when(F.col("First_Position") <= params.history_limit,
+                                               F.struct("Chunk", "Service_Types"))))
+    too_long = F.raise_error(F.concat(
+        F.lit("user "), F.coalesce(F.col("User_ID").cast("string"), F.lit("NULL")), F.lit(" has "), F.col("_last").cast("string"),
+        F.lit(f" services, more than history_limit={params.history_limit}; read history_chunks instead")))
+    whole = chunks.groupBy("User_ID").agg(last.alias("_last"), parts.alias("_parts"))
+    return whole.select("User_ID", F.when(F.col("_last") > params.history_limit, too_long.cast(f"array<{_SERVICE}>")).otherwise(
+        F.flatten(F.transform("_parts", lambda x: x["Service_Types"]))).alias("All_Service_Types"))
 
 
 def service_summary(seq: DataFrame, params: Params = DEFAULT, history: bool = True) -> DataFrame:
     """One row per user: totals, first/last dates, first/second type, median
     gap, ordered history and what follows the first pivot-type service.
-    ``history`` adds the array of all services: one row then holds a user's
-    whole history, so leave it out where it is not read."""
+    ``history`` adds the array of all services from ``history_arrays``, which
+    fails for a user above ``params.history_limit``; without it no row grows
+    with a user's history."""
     pivot = F.col("ServiceType") == params.pivot_service
-    return seq.groupBy("User_ID").agg(
+    summary = seq.groupBy("User_ID").agg(
         F.sum("Service_Fee_Sum").cast("double").alias("Total_Service_Fee"),
         F.sum("Services").alias("Total_Number_of_Services"),
         F.min("First_Service").alias("First_Service_Date"),
@@ -101,11 +132,20 @@ def service_summary(seq: DataFrame, params: Params = DEFAULT, history: bool = Tr
         F.max("First_Access_Channel").alias("First_Access_Channel"),
         quantile("Days_Since_Last_Service", params.cadence_quantile, params.exact_quantiles,
                  params.approx_accuracy).cast("int").alias("Median_Days_Between_Services"),
-        *([history_array().alias("All_Service_Types")] if history else []),
         first_in_order("Next_Service_Type", *_ORDER, where=pivot).alias("Post_Telehealth_Service"),
         first_in_order(days_between("Next_Service_Start_Date", "ServiceStartDate"), *_ORDER,
                        where=pivot).alias("Days_After_Telehealth"),
     )
+    if not history:
+        return summary
+    after = summary.columns.index("Post_Telehealth_Service")
+    arrays = history_arrays(seq, params)
+    # both sides are dealt by User_ID; services without a user, if any, are one
+    # row that an equi join does not meet
+    nobody = arrays.where(F.col("User_ID").isNull()).select("All_Service_Types").scalar()
+    both = summary.join(arrays, "User_ID", "left").withColumn(
+        "All_Service_Types", F.when(F.col("User_ID").isNull(), nobody).otherwise(F.col("All_Service_Types")))
+    return both.select(*summary.columns[:after], "All_Service_Types", *summary.columns[after:])
 
 
 def history_rows(seq: DataFrame) -> DataFrame:

@@ -41,17 +41,17 @@ def _t(spark, sf_dir):
 # ---------------------------------------------------------------- quality
 for _key, _table in (("users", "users"), ("services", "services"), ("campaigns", "campaigns"),
                      ("app", "app_usage"), ("responses", "responses")):
-    register(f"null_profile_{_key}")(lambda s, d, _table=_table: reports.null_profiles(_t(s, d))[_table])
+    register(f"null_profile_{_key}")(lambda s, d, _table=_table: reports.null_profile(_t(s, d), _table))
 
 
 @register("key_uniqueness_users")
 def _ku_users(spark, sf_dir):
-    return reports.key_checks(_t(spark, sf_dir))["users"]
+    return reports.key_check(_t(spark, sf_dir), "users")
 
 
 @register("key_uniqueness_services")
 def _ku_services(spark, sf_dir):
-    return reports.key_checks(_t(spark, sf_dir))["services"]
+    return reports.key_check(_t(spark, sf_dir), "services")
 
 # ---------------------------------------------------------------- segment-report family
 
@@ -164,6 +164,18 @@ def _history(spark, sf_dir):
     return sequence.history_rows(sequence.service_sequence(_t(spark, sf_dir).services))
 
 
+#: Services in a row of the chunked history here: small, so that users of the
+#: test tables have several rows.
+CHUNK = 5
+
+
+@register("service_history_chunks")
+def _history_chunks(spark, sf_dir):
+    seq = sequence.service_sequence(_t(spark, sf_dir).services)
+    return sequence.history_chunks(seq, P.with_(history_chunk=CHUNK)).withColumn(
+        "Service_Types", reports.history_text("Service_Types"))
+
+
 def churn_table(spark, sf_dir, history: bool = False):
     """The churn table; the history array only where it is part of the result."""
     t = _t(spark, sf_dir)
