@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 from cohortlens.config import DEFAULT, Params
 from cohortlens.functions import days_between, quantile, ratio, round_half_up
 from cohortlens.operators.ordered import group_window, hot_keys
+from cohortlens.scope import keep
 
 PAIR = ["Campaign_ID", "User_ID"]
 CAMPAIGN_COLS = ["Campaign_ID", "OutreachType", "OutreachDate", "OutreachBudget", "TargetSegment"]
@@ -191,7 +192,7 @@ def attribution_base(campaigns: DataFrame, responses: DataFrame, services: DataF
     m = window_matches(keys, services, params, campaigns).drop("OutreachDate")
     rows = pairs.join(m, PAIR, "left").withColumn(
         "Converted", F.when(F.col("Service_ID").isNotNull(), 1).otherwise(0))
-    rows = rows.persist(params.storage())   # read by two hot-key counts and the result
+    rows = keep(rows, params.storage())   # read by two hot-key counts and the result
     r1 = group_window(rows, PAIR, ["ServiceStartDate", "Service_ID"]).select(
         *rows.columns, F.col("_rn").alias("Campaign_Service_Rank"))
     r2 = group_window(r1, ["User_ID", "Service_ID"], ["OutreachDate", "Campaign_ID"],

@@ -33,6 +33,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortlens.scope import keep
+
 ROWS_PER_RANGE = 2_000_000
 MIN_RANGES = 8
 MAX_RANGES = 65_536
@@ -115,7 +117,7 @@ def ntiles(df: DataFrame, specs: list[tuple[str, str]], k: int, id_col: str,
     StorageLevel). The result itself has no window and no shuffle: each row is
     compared with the ``k - 1`` boundary keys."""
     level = StorageLevel.MEMORY_AND_DISK if persist is True else persist
-    base = df.persist(level) if level else df
+    base = keep(df, level) if level else df
     n = base.count()
     if n == 0:
         return base.select("*", *[F.lit(None).cast("int").alias(o) for o, _ in specs])

@@ -9,6 +9,7 @@ result can be compared with the SQL oracle value by value.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,15 +18,30 @@ from cohortlens.config import TESTDATA as P
 from cohortlens.operators import attribution as attr
 from cohortlens.operators import churn, scoring, segments, sequence
 from cohortlens.plans import reports
+from cohortlens.scope import Scope
 from cohortlens.sources import testdata
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
 
 
+#: Owns the intermediates of the query built last: a query releases those of
+#: the one before it.
+kept = Scope()
+
+
 def register(name: str):
     def deco(fn: Query) -> Query:
-        _REGISTRY[name] = fn
+        @wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            kept.release()
+            kept.open()
+            try:
+                return fn(spark, sf_dir)
+            finally:
+                kept.close()
+
+        _REGISTRY[name] = run
         return fn
     return deco
 

@@ -2,11 +2,14 @@
 
 Intermediates read by several consumers (the service sequence, the cadence
 rows) are persisted once instead of being recomputed per consumer: Catalyst
-does not share a common sub-plan whose consumers prune different columns.
+does not share a common sub-plan whose consumers prune different columns.  The
+open ``scope.Scope`` owns them; ``write_analyses`` runs all six in such scopes.
 """
 
 from __future__ import annotations
 
+from contextvars import copy_context
+
 from pyspark import InheritableThread
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,7 +18,9 @@ from cohortlens.config import DEFAULT, REPORT_LABELS, TABLE_LABELS, Params
 from cohortlens.functions import ratio, round_half_up
 from cohortlens.operators import attribution as attr_ops
 from cohortlens.operators import churn, quality, scoring, segments, selection, sequence
-from cohortlens.sources import schemas
+from cohortlens.scope import Scope
+from cohortlens.scope import keep as keep_frame
+from cohortlens.sources import schemas, sinks
 from cohortlens.sources.tables import Tables
 
 
@@ -61,7 +66,7 @@ def key_checks(t: Tables) -> dict[str, DataFrame]:
 def churn_parts(t: Tables, params: Params = DEFAULT, persist: bool = True, history: bool = True) -> dict[str, DataFrame]:
     seq = sequence.service_sequence(t.services)
     if persist:
-        seq = seq.persist(params.storage())
+        seq = keep_frame(seq, params.storage())
     cut = churn.gap_cutoffs(seq, params)
     return {
         "sequence": seq,
@@ -123,8 +128,8 @@ def status_share(churn_tbl: DataFrame) -> DataFrame:
 def status_profile(churn_tbl: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Per status: mean of per-user median cadence, median fee and mean app
     recency (users without the measure are skipped)."""
-    facts = churn_tbl.select("UserStatus", "Median_Days_Between_Services", "Total_Service_Fee", "Days_Since_App_Activity") \
-        .persist(params.storage())
+    facts = keep_frame(churn_tbl.select("UserStatus", "Median_Days_Between_Services", "Total_Service_Fee",
+                                  "Days_Since_App_Activity"), params.storage())
     means = facts.groupBy("UserStatus").agg(
         F.count(F.lit(1)).alias("Users"),
         round_half_up(F.avg("Median_Days_Between_Services"), 2).alias("Avg_Days_Between_Services"),
@@ -159,10 +164,10 @@ def report_parts(t: Tables, keep: tuple, params: Params = DEFAULT, persist: bool
     # mix is aggregated from them (already partitioned by user)
     cad = sequence.service_cadence(t.services, carry=("ServiceType",))
     if persist:
-        cad = cad.persist(params.storage())
+        cad = keep_frame(cad, params.storage())
     mix = segments.service_mix(cad)
     if persist:
-        mix = mix.persist(params.storage())
+        mix = keep_frame(mix, params.storage())
     cut = churn.gap_cutoffs(cad, params)
     crit = churn.churn_criteria(cad, cut, params)
     totals = mix.select("User_ID", F.col("Service_Count").alias("Total_Services"))
@@ -233,7 +238,8 @@ def rfm_parts(t: Tables, params: Params = DEFAULT, **ntile_kw) -> dict:
         except Exception as error:  # raised again by the caller's thread
             out[name] = error
 
-    threads = [InheritableThread(target=run, args=args) for args in (
+    # a thread has a context of its own; the open scope is part of the caller's
+    threads = [InheritableThread(target=copy_context().run, args=(run, *args)) for args in (
         ("service", scoring.rfm_service, t.services), ("app", scoring.rfm_app, t.app_usage))]
     for thread in threads:
         thread.start()
@@ -255,3 +261,38 @@ def rfm_table(t: Tables, params: Params = DEFAULT, ordered: bool = False, **ntil
 
 def attribution_table(t: Tables, params: Params = DEFAULT) -> DataFrame:
     return attr_ops.attribution(t.campaigns, t.responses, t.services, params)
+
+# ---------------------------------------------------------------- all of them
+
+
+def write_analyses(t: Tables, path: str, params: Params = DEFAULT, history: bool = False) -> list[str]:
+    """Writes the tables of all six analyses under ``path`` and returns their
+    names.  Each analysis has a scope of its own: what its tables share is
+    computed once and released after its last table.  ``history`` adds the
+    one-row history to the churn tables (see ``Params.history_limit``); the
+    chunked one is always written."""
+    def quality_checks():
+        return {**{f"null_profile_{n}": null_profile(t, n) for n in schemas.BY_NAME},
+                **{f"key_check_{n}": key_check(t, n) for n in KEY_CHECKS}}
+
+    def churn_model():
+        parts = churn_parts(t, params, history=history)
+        names = ("sequence", "cutoffs", "service_churn", "app_churn", "campaign_totals", "service_summary")
+        return {**{n: parts[n] for n in names}, "service_history_chunks": sequence.history_chunks(parts["sequence"], params),
+                "churn_table": churn_table(t, params, parts)}
+
+    def rfm():
+        parts = rfm_parts(t, params)
+        return {"rfm_service": parts["service"], "rfm_app": parts["app"],
+                "rfm_table": scoring.rfm_table(t.users, parts["service"], parts["app"])}
+
+    def segment():
+        return {f"{n}_report": df for n, df in segment_reports(t, params).items()}
+
+    names = []
+    for analysis in (quality_checks, segment, rfm, churn_model, lambda: {"attribution": attribution_table(t, params)}):
+        with Scope():
+            for name, df in analysis().items():
+                sinks.create_table_as(df, f"{path}/{name}")
+                names.append(name)
+    return names
