@@ -37,13 +37,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import new_path, staged
+from .words import mix, power_tables
 
 END_ID = 1
 #: Bytes of text encoded at once, bytes of pieces and ids that a worker
 #: remembers (in two generations, so that common pieces stay known), and what a
 #: remembered piece takes besides its own bytes and ids.
-SEGMENT = 1 << 18
-REMEMBERED = 144 << 20
+SEGMENT = 1 << 20
+REMEMBERED = 224 << 20
 ENTRY = 200
 #: Pieces encoded in one call, and what stands between them.
 TOGETHER = 1000
@@ -77,88 +78,115 @@ class PieceEncoder:
         mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
 
-    def _encode(self, pieces: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        """Each piece and its ids.  Pieces are encoded many at a time, with a
-        mark of one id after each, which costs less than a call a piece; those
-        that hold the mark itself are encoded one by one."""
-        mark, alone = MARK.encode(), []
+    def _encode(self, pieces: list[bytes]) -> Iterator[tuple[list[bytes], list[bytes]]]:
+        """Lists of pieces and of their ids.  Pieces are encoded many at a
+        time, with a mark of one id after each, which costs less than a call a
+        piece; where one holds the mark itself, they are encoded one by one."""
+        end, width = f" {MARK} ".encode(), self.dtype.itemsize
         for at in range(0, len(pieces), TOGETHER):
             some = pieces[at:at + TOGETHER]
             if self.mark is not None:
-                alone += [p for p in some if mark in p]
-                some = [p for p in some if mark not in p]
-                joined = b"".join([p + b" " + mark + b" " for p in some]).decode("utf-8")
+                joined = (end.join(some) + end).decode("utf-8")
                 ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int64)
                 ends = np.flatnonzero(ids == self.mark)
-                if ends.size == len(some):
-                    data, width = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
-                    starts = np.concatenate(([0], ends[:-1] + 1)) if ends.size else ends
-                    yield from zip(some, [data[a:b] for a, b in zip((width * starts).tolist(), (width * ends).tolist())])
+                if ends.size == len(some) == joined.count(MARK):
+                    data, ends = ids.astype(self.dtype).tobytes(), (width * ends).tolist()
+                    yield some, [data[a:b] for a, b in zip([0] + [x + width for x in ends], ends)]
                     continue
-            alone += some
-        found = self.tokenizer.encode_batch_fast([p.decode("utf-8") for p in alone], add_special_tokens=False)
-        yield from zip(alone, (np.array(e.ids, self.dtype).tobytes() for e in found))
+            found = self.tokenizer.encode_batch_fast([p.decode("utf-8") for p in some], add_special_tokens=False)
+            yield some, [np.array(e.ids, self.dtype).tobytes() for e in found]
 
-    def _learn(self, pieces: list[bytes]) -> None:
-        """Makes ``known`` hold the ids of all of ``pieces``."""
+    def _ids(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of distinct pieces."""
         if 2 * self.held > REMEMBERED:
             self.known, self.before, self.held = {}, self.known, 0
-        known, before, new = self.known, self.before, []
-        for p in set(pieces).difference(known):
-            old = before.get(p)
-            if old is None:
-                new.append(p)
-            else:
-                known[p] = old
-                self.held += ENTRY + len(p) + len(old)
-        for p, ids in self._encode(new):
-            known[p] = ids
-            self.held += ENTRY + len(p) + len(ids)
-
-    def _encoded(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]  # at ASCII white space
-        self._learn(list(chain.from_iterable(split)))
-        ids = self.known.__getitem__
-        return [b"".join(map(ids, pieces)) for pieces in split]
-
-    def _long(self, text: memoryview) -> Iterator[bytes]:
-        """The ids of a text longer than a segment, in parts that end before
-        white space."""
-        at = 0
-        while at < len(text):
-            part = bytes(text[at:at + SEGMENT])
-            if at + len(part) < len(text):
-                last = len(part) - 1 - np.argmax(_SPACE[np.frombuffer(part, np.uint8)[::-1]])
-                if _SPACE[part[last]] and last > 0:
-                    part = part[:last]
-                else:  # no white space in it: up to the next one
-                    end = at + len(part)
-                    while end < len(text):
-                        gaps = np.flatnonzero(_SPACE[np.frombuffer(text[end:end + SEGMENT], np.uint8)])
-                        if gaps.size:
-                            end += int(gaps[0])
-                            break
-                        end = min(len(text), end + SEGMENT)
-                    part = bytes(text[at:end])
-            yield self._encoded([part])[0]
-            at += len(part)
+        known, before, new, again = self.known, self.before, [], []
+        for p in pieces:
+            if p not in known:
+                (again if p in before else new).append(p)
+        for some, ids in chain(self._encode(new), [(again, [before[p] for p in again])]):
+            known.update(zip(some, ids))
+            self.held += ENTRY * len(some) + sum(map(len, some)) + sum(map(len, ids))
+        return [known[p] for p in pieces]
+
+    def segment(self, raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(ids, number of ids of each text)`` of the texts that end at
+        ``cuts`` in ``raw``."""
+        inside = np.zeros(raw.size + 2, np.int8)
+        inside[1:-1] = ~_SPACE[raw]
+        edges = np.diff(inside)
+        begins, ends = edges == 1, edges == -1
+        inner = cuts[(cuts > 0) & (cuts < raw.size)]
+        inner = inner[(inside[inner] == 1) & (inside[inner + 1] == 1)]  # two texts meet without white space
+        begins[inner], ends[inner] = True, True
+        starts, stops = np.flatnonzero(begins), np.flatnonzero(ends)
+        if not starts.size:
+            return np.zeros(0, self.dtype), np.zeros(cuts.size, np.int64)
+        first, place = _distinct(raw, starts, stops)
+        data = raw.tobytes()
+        ids = self._ids([data[a:b] for a, b in zip(starts[first].tolist(), stops[first].tolist())])
+        width = self.dtype.itemsize
+        sizes = np.array([len(x) // width for x in ids])
+        flat = np.frombuffer(b"".join(ids), self.dtype)
+        at = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        each = sizes[place]
+        total = int(each.sum())
+        before = np.cumsum(each) - each
+        out = flat[np.repeat(at[place] - before, each) + np.arange(total)]
+        text = np.searchsorted(cuts, starts, side="right")
+        return out, np.bincount(text, each, cuts.size).astype(np.int64)
 
     def texts(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text of a string column (NULL: none)."""
         column = column.cast(pa.large_string())
         offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
-        raw = memoryview(column.buffers()[2] or b"")
+        raw = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] else np.zeros(0, np.uint8)
         i = 0
         while i < len(column):
             j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + SEGMENT, side="right")) - 1)
             if offsets[j] - offsets[i] <= SEGMENT:
-                found = self._encoded([bytes(raw[a:b]) for a, b in zip(offsets[i:j].tolist(), offsets[i + 1:j + 1].tolist())])
-            else:
-                found = [b"".join(self._long(raw[int(offsets[i]):int(offsets[i + 1])]))]
-            yield from (np.frombuffer(ids, self.dtype) for ids in found)
+                ids, n = self.segment(raw[offsets[i]:offsets[j]], offsets[i + 1:j + 1] - offsets[i])
+                yield from np.split(ids, np.cumsum(n)[:-1])
+            else:  # one text longer than a segment: in parts that end before white space
+                parts, at, end = [], int(offsets[i]), int(offsets[i + 1])
+                while at < end:
+                    to = min(end, at + SEGMENT)
+                    gaps = np.flatnonzero(_SPACE[raw[at:to]]) if to < end else np.zeros(0)
+                    if to < end:
+                        if gaps.size and gaps[-1] > 0:
+                            to = at + int(gaps[-1])
+                        else:
+                            rest = np.flatnonzero(_SPACE[raw[to:end]])
+                            to = to + int(rest[0]) if rest.size else end
+                    parts.append(self.segment(raw[at:to], np.array([to - at]))[0])
+                    at = to
+                yield np.concatenate(parts)
             i = j
 
 
+def _distinct(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(first, place)``: a piece of each distinct kind, and the kind of each
+    piece ``raw[starts:stops]``.  Kinds are found by a hash and then compared
+    byte by byte; where a hash fails, the pieces themselves decide."""
+    power, inverse = power_tables(raw.size)
+    sums = np.zeros(raw.size + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power, out=sums[1:])
+    _, first, place = np.unique(mix((sums[stops] - sums[starts]) * inverse[starts]), return_index=True, return_inverse=True)
+    del sums
+    same = first[place]
+    rest = np.flatnonzero(same != np.arange(starts.size))
+    size = (stops - starts)[rest]
+    if (size == (stops - starts)[same[rest]]).all():
+        within = np.arange(int(size.sum()), dtype=np.int32) - np.repeat((np.cumsum(size) - size).astype(np.int32), size)
+        own = raw[np.repeat(starts[rest].astype(np.int32), size) + within]
+        if (own == raw[np.repeat(starts[same[rest]].astype(np.int32), size) + within]).all():
+            return first, place
+    data = raw.tobytes()
+    kinds: dict[bytes, int] = {}
+    place = np.array([kinds.setdefault(data[a:b], len(kinds)) for a, b in zip(starts.tolist(), stops.tolist())])
+    return np.unique(place, return_index=True)[1], place
+
+
 @lru_cache(maxsize=1)
 def _encoder(tokenizer_path: str) -> PieceEncoder:
     """The encoder of this Python worker: its tokenizer, and the pieces that
