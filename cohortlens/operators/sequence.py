@@ -40,26 +40,33 @@ def cadence_median(cadence: DataFrame, params: Params = DEFAULT) -> DataFrame:
                  params.approx_accuracy).cast("int").alias("Median_Days_Between_Services"))
 
 
-def merged_services(services: DataFrame, copartition: bool = True) -> DataFrame:
+_MERGE_KEYS = ("User_ID", "ServiceStartDate", "ServiceEndDate", "ServiceType", "AccessChannel")
+
+
+def merged_services(services: DataFrame, copartition: bool = True, spread: bool = False) -> DataFrame:
     """Identical (user, start, end, type, channel) records merge into one row
     with summed fee and counted types. With ``copartition`` the input is
     hash-partitioned by user first, so the grouping and the following
-    per-user window share one shuffle; without it (hot users present) the
-    grouping shuffles on all five keys and combines partially first."""
+    per-user window share one shuffle; without it (hot users present, or
+    services bucketed by user) the grouping uses the partitioning it finds, or
+    shuffles on all five keys and combines partially first. ``spread`` deals
+    the rows by all five keys whatever the input's partitioning."""
     src = services.repartition("User_ID") if copartition else services
-    return (src.groupBy("User_ID", "ServiceStartDate", "ServiceEndDate", "ServiceType", "AccessChannel")
+    src = services.repartition(*_MERGE_KEYS) if spread else src
+    return (src.groupBy(*_MERGE_KEYS)
             .agg(money_sum("ServiceFee").alias("Service_Fee_Sum"),
                  F.count("ServiceType").alias("Services"),
                  F.min("ServiceStartDate").alias("First_Service"),
                  F.min("Service_ID").alias("Seq_ID")))
 
 
-def service_sequence(services: DataFrame, hot: list | None = None) -> DataFrame:
+def service_sequence(services: DataFrame, hot: list | None = None, bucketed: bool = False) -> DataFrame:
     """Merged services with their per-user sequence attributes: first type and
     channel, second type, next type and date, gap to the previous service,
-    ordinal and a last-service marker."""
+    ordinal and a last-service marker. ``bucketed`` services (stored by user)
+    are not shuffled, unless a hot user would keep one bucket's task busy."""
     hot = hot_keys(services, "User_ID") if hot is None else hot
-    m = merged_services(services, copartition=not hot)
+    m = merged_services(services, copartition=not (hot or bucketed), spread=bool(hot) and bucketed)
     g = group_window(m, "User_ID", list(_ORDER), lag=["ServiceStartDate"],
                      lead=["ServiceType", "ServiceStartDate"], first=["ServiceType", "AccessChannel"],
                      second=["ServiceType"], hot=hot)

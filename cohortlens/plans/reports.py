@@ -64,7 +64,7 @@ def key_checks(t: Tables) -> dict[str, DataFrame]:
 
 
 def churn_parts(t: Tables, params: Params = DEFAULT, persist: bool = True, history: bool = True) -> dict[str, DataFrame]:
-    seq = sequence.service_sequence(t.services)
+    seq = sequence.service_sequence(t.services, bucketed=t.bucketed)
     if persist:
         seq = keep_frame(seq, params.storage())
     cut = churn.gap_cutoffs(seq, params)

@@ -16,15 +16,19 @@ def conform(name: str, df: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Tables:
+    """``bucketed``: the tables with a User_ID are stored by it, in one number
+    of buckets (see ``sources.bucketed``)."""
+
     users: DataFrame
     services: DataFrame
     app_usage: DataFrame
     campaigns: DataFrame
     responses: DataFrame
+    bucketed: bool = False
 
     def as_dict(self) -> dict[str, DataFrame]:
         return {n: getattr(self, n) for n in schemas.BY_NAME}
 
     def conformed(self) -> "Tables":
         """Project every table onto its schema's columns and types."""
-        return Tables(**{name: conform(name, df) for name, df in self.as_dict().items()})
+        return Tables(**{name: conform(name, df) for name, df in self.as_dict().items()}, bucketed=self.bucketed)

@@ -124,6 +124,7 @@ class TestTables:
     built when first asked for, so a query opens only the files it reads."""
 
     __test__ = False  # no test class
+    bucketed = False
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self._file = lambda name: _read(spark, sf_dir, name)
