@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.config import TESTDATA as P
 from cohortlens.operators import attribution as attr
-from cohortlens.operators import churn, scoring, segments, sequence
+from cohortlens.operators import bitmaps, churn, scoring, segments, sequence
 from cohortlens.plans import reports
 from cohortlens.scope import Scope
 from cohortlens.sources import testdata
@@ -69,6 +69,15 @@ def _ku_users(spark, sf_dir):
 def _ku_services(spark, sf_dir):
     return reports.key_check(_t(spark, sf_dir), "services")
 
+
+
+@register("key_uniqueness_bitmaps")
+def _ku_bitmaps(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    checks = [bitmaps.distinct_keys(getattr(t, name), key, "All_Keys", "Distinct_Keys").select(F.lit(name).alias("Table_Name"), "*")
+              for name, (key, _, _) in reports.KEY_CHECKS.items()]
+    return checks[0].unionByName(checks[1])
+
 # ---------------------------------------------------------------- segment-report family
 
 
