@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import staged
+from .common import pieces_of, staged
 from .components import connected_components
 from .words import mix, sequence_key, shingle_set, word_hashes
 
@@ -74,7 +74,7 @@ def _signer(words_per_shingle: int, bands: int, rows: int):
     bands_of = _banding(bands, rows)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces_of(batches):
             keys, sizes, signs = [], [], []
             for text in batch.column("text").to_pylist():
                 words = word_hashes(text)
@@ -93,7 +93,7 @@ def _sets(words_per_shingle: int, bands: int, rows: int):
     bands_of = _banding(bands, rows)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces_of(batches):
             keys, out = [], []
             for text, key in zip(batch.column("text").to_pylist(), batch.column("key").to_pylist()):
                 words = word_hashes(text)
@@ -278,7 +278,7 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, shingle_words: int = 5
 def _with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds the key of the text class as the last column; a text without a word
     gets a key of its own bytes."""
-    for batch in batches:
+    for batch in pieces_of(batches):
         keys = []
         for text in batch.column("text").to_pylist():
             words = word_hashes(text)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import pieces_of, staged
 from .text_stats import NAMES, text_statistics
 
 FOLDS = 5
@@ -54,7 +54,7 @@ class Discriminant:
 def statistics_of(docs: DataFrame) -> DataFrame:
     """``doc_id, x`` for every row of ``docs``: one pass over whole texts."""
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces_of(batches):
             x = [text_statistics(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(x, pa.list_(pa.float64()))],
                                              names=["doc_id", "x"])
@@ -125,9 +125,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame
     at = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x = np.array([text_statistics(t) for t in batch.column(at).to_pylist()])
-                yield batch.filter(pa.array(model.scores(x) >= cut))
+        for batch in pieces_of(batches):
+            x = np.array([text_statistics(t) for t in batch.column(at).to_pylist()])
+            yield batch.filter(pa.array(model.scores(x) >= cut))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -17,7 +17,8 @@ after a lost executor leaves at most an unlisted file.
 Encoding is that of the ``tokenizers`` library.  The tokenizer drops white
 space and never joins across it, so texts are cut at ASCII white space, each
 distinct piece of a segment is encoded once, and the ids are put together
-piece by piece; a worker remembers pieces up to a bound in bytes.
+piece by piece; a worker remembers pieces in flat arrays up to a bound in
+bytes.
 """
 
 from __future__ import annotations
@@ -28,7 +29,6 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,16 +36,14 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, staged
+from .common import new_path
 from .words import mix, power_tables
 
 END_ID = 1
-#: Bytes of text encoded at once, bytes of pieces and ids that a worker
-#: remembers (in two generations, so that common pieces stay known), and what a
-#: remembered piece takes besides its own bytes and ids.
-SEGMENT = 1 << 20
-REMEMBERED = 224 << 20
-ENTRY = 200
+#: Bytes of text encoded at once, and bytes of the arrays in which a worker
+#: remembers pieces and ids (two generations, so that common pieces stay known).
+SEGMENT = 1 << 19
+REMEMBERED = 48 << 20
 #: Pieces encoded in one call, and what stands between them.
 TOGETHER = 1000
 MARK = "\u2605"
@@ -61,9 +59,92 @@ def masked_crc(data: bytes) -> int:
     return (((crc >> 15) | (crc << 17)) + 0xA282EAD8) & 0xFFFFFFFF
 
 
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions of all spans ``starts[k]:starts[k] + sizes[k]``."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if ends.size else 0)
+
+
+def _appended(store: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """``store`` with ``more`` at ``used``; it grows by a quarter."""
+    if used + more.size > store.size:
+        store, old = np.empty(used + more.size + store.size // 4, store.dtype), store
+        store[:used] = old[:used]
+    store[used:used + more.size] = more
+    return store
+
+
+class Pieces:
+    """Pieces and their ids in flat arrays.  A piece is found through an open
+    addressing table of hashes and then compared byte by byte; of pieces that
+    share a hash only the first is found again."""
+
+    def __init__(self, dtype: np.dtype):
+        self.count, self.text_used, self.ids_used = 0, 0, 0
+        self.text, self.ids = np.empty(0, np.uint8), np.empty(0, dtype)
+        self.hashes = np.empty(0, np.uint64)
+        self.at, self.size, self.ids_at, self.ids_size = (np.empty(0, np.uint32) for _ in range(4))
+        self.table = np.full(64, -1, np.int32)
+
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.text, self.ids, self.hashes, self.at, self.size,
+                                      self.ids_at, self.ids_size, self.table))
+
+    def find(self, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The number of each piece of ``raw``; -1 where it is not known."""
+        out = np.full(hashes.size, -1, np.int64)
+        mask = np.uint64(self.table.size - 1)
+        left, place = np.arange(hashes.size), (hashes & mask).astype(np.int64)
+        while left.size:
+            entry = self.table[place]
+            some = entry >= 0
+            left, place, entry = left[some], place[some], entry[some]
+            same = self.hashes[entry] == hashes[left]
+            out[left[same]] = entry[same]
+            left, place = left[~same], (place[~same] + 1) & int(mask)
+        found = np.flatnonzero(out >= 0)
+        fits = self.size[out[found]] == sizes[found]
+        out[found[~fits]] = -1
+        found = found[fits]
+        own = raw[_spans(starts[found], sizes[found])]
+        differ = own != self.text[_spans(self.at[out[found]].astype(np.int64), sizes[found])]
+        if differ.any():
+            out[np.repeat(found, sizes[found])[differ]] = -1
+        return out
+
+    def add(self, text: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, ids: np.ndarray, ids_sizes: np.ndarray) -> np.ndarray:
+        """Remembers pieces, given one after the other in ``text`` and their
+        ids in ``ids``, and returns their numbers."""
+        n, new = self.count, sizes.size
+        for name, more in (("hashes", hashes), ("at", self.text_used + np.cumsum(sizes) - sizes), ("size", sizes),
+                           ("ids_at", self.ids_used + np.cumsum(ids_sizes) - ids_sizes), ("ids_size", ids_sizes)):
+            setattr(self, name, _appended(getattr(self, name), n, more))
+        self.text = _appended(self.text, self.text_used, text)
+        self.ids = _appended(self.ids, self.ids_used, ids)
+        self.count, self.text_used, self.ids_used = n + new, self.text_used + text.size, self.ids_used + ids.size
+        indexed = n + np.unique(hashes, return_index=True)[1]
+        if 2 * self.count > self.table.size:
+            indexed = np.concatenate((self.table[self.table >= 0], indexed))
+            self.table = np.full(1 << (3 * self.count).bit_length(), -1, np.int32)
+        self._index(indexed)
+        return np.arange(n, n + new)
+
+    def _index(self, entries: np.ndarray) -> None:
+        mask = np.uint64(self.table.size - 1)
+        place = (self.hashes[entries] & mask).astype(np.int64)
+        while entries.size:
+            there = self.table[place]
+            free = there < 0
+            self.table[place[free]] = entries[free]
+            there = self.table[place]
+            rest = self.hashes[there] != self.hashes[entries]
+            entries, place = entries[rest], (place[rest] + 1) & int(mask)
+
+
 class PieceEncoder:
     """Encodes whole texts by their white-space separated pieces, of which it
-    remembers at most ``REMEMBERED`` bytes."""
+    remembers at most ``REMEMBERED`` bytes and those of one segment."""
 
     def __init__(self, tokenizer_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -72,17 +153,16 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.dtype = np.dtype("<u4" if self.wide else "<u2")
-        self.known: dict[bytes, bytes] = {}
-        self.before: dict[bytes, bytes] = {}
-        self.held = 0
+        self.known, self.before = Pieces(self.dtype), Pieces(self.dtype)
         mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
 
-    def _encode(self, pieces: list[bytes]) -> Iterator[tuple[list[bytes], list[bytes]]]:
-        """Lists of pieces and of their ids.  Pieces are encoded many at a
-        time, with a mark of one id after each, which costs less than a call a
-        piece; where one holds the mark itself, they are encoded one by one."""
-        end, width = f" {MARK} ".encode(), self.dtype.itemsize
+    def _encode(self, pieces: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The ids of pieces, and the number of each one's ids.  Pieces are
+        encoded many at a time, with a mark of one id after each, which costs
+        less than a call a piece; where one holds the mark itself, they are
+        encoded one by one."""
+        end = f" {MARK} ".encode()
         for at in range(0, len(pieces), TOGETHER):
             some = pieces[at:at + TOGETHER]
             if self.mark is not None:
@@ -90,24 +170,30 @@ class PieceEncoder:
                 ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int64)
                 ends = np.flatnonzero(ids == self.mark)
                 if ends.size == len(some) == joined.count(MARK):
-                    data, ends = ids.astype(self.dtype).tobytes(), (width * ends).tolist()
-                    yield some, [data[a:b] for a, b in zip([0] + [x + width for x in ends], ends)]
+                    yield np.delete(ids, ends).astype(self.dtype), np.diff(ends, prepend=-1) - 1
                     continue
-            found = self.tokenizer.encode_batch_fast([p.decode("utf-8") for p in some], add_special_tokens=False)
-            yield some, [np.array(e.ids, self.dtype).tobytes() for e in found]
-
-    def _ids(self, pieces: list[bytes]) -> list[bytes]:
-        """The ids of distinct pieces."""
-        if 2 * self.held > REMEMBERED:
-            self.known, self.before, self.held = {}, self.known, 0
-        known, before, new, again = self.known, self.before, [], []
-        for p in pieces:
-            if p not in known:
-                (again if p in before else new).append(p)
-        for some, ids in chain(self._encode(new), [(again, [before[p] for p in again])]):
-            known.update(zip(some, ids))
-            self.held += ENTRY * len(some) + sum(map(len, some)) + sum(map(len, ids))
-        return [known[p] for p in pieces]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode("utf-8") for p in some], add_special_tokens=False)]
+            yield np.array([i for ids in found for i in ids], self.dtype), np.array([len(ids) for ids in found])
+
+    def _numbers(self, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The numbers that distinct pieces of ``raw`` have in ``known``."""
+        if 2 * self.known.nbytes > REMEMBERED:
+            self.before, self.known = self.known, Pieces(self.dtype)
+        known, before = self.known, self.before
+        out = known.find(raw, starts, sizes, hashes)
+        rest = np.flatnonzero(out < 0)
+        old = before.find(raw, starts[rest], sizes[rest], hashes[rest])
+        again, old, new = rest[old >= 0], old[old >= 0], rest[old < 0]
+        text = raw[_spans(starts[new], sizes[new])]
+        data, cuts = text.tobytes(), np.cumsum(sizes[new]).tolist()
+        found = list(self._encode([data[a:b] for a, b in zip([0, *cuts], cuts)]))
+        if new.size:
+            out[new] = known.add(text, sizes[new], hashes[new], *(np.concatenate(x) for x in zip(*found)))
+        if again.size:
+            many = before.ids_size[old].astype(np.int64)
+            ids = before.ids[_spans(before.ids_at[old].astype(np.int64), many)]
+            out[again] = known.add(raw[_spans(starts[again], sizes[again])], sizes[again], hashes[again], ids, many)
+        return out
 
     def segment(self, raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, number of ids of each text)`` of the texts that end at
@@ -122,17 +208,10 @@ class PieceEncoder:
         starts, stops = np.flatnonzero(begins), np.flatnonzero(ends)
         if not starts.size:
             return np.zeros(0, self.dtype), np.zeros(cuts.size, np.int64)
-        first, place = _distinct(raw, starts, stops)
-        data = raw.tobytes()
-        ids = self._ids([data[a:b] for a, b in zip(starts[first].tolist(), stops[first].tolist())])
-        width = self.dtype.itemsize
-        sizes = np.array([len(x) // width for x in ids])
-        flat = np.frombuffer(b"".join(ids), self.dtype)
-        at = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        each = sizes[place]
-        total = int(each.sum())
-        before = np.cumsum(each) - each
-        out = flat[np.repeat(at[place] - before, each) + np.arange(total)]
+        first, place, hashes = _distinct(raw, starts, stops)
+        number = self._numbers(raw, starts[first], (stops - starts)[first], hashes)[place]
+        each = self.known.ids_size[number].astype(np.int64)
+        out = self.known.ids[_spans(self.known.ids_at[number].astype(np.int64), each)]
         text = np.searchsorted(cuts, starts, side="right")
         return out, np.bincount(text, each, cuts.size).astype(np.int64)
 
@@ -164,15 +243,17 @@ class PieceEncoder:
             i = j
 
 
-def _distinct(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``(first, place)``: a piece of each distinct kind, and the kind of each
-    piece ``raw[starts:stops]``.  Kinds are found by a hash and then compared
-    byte by byte; where a hash fails, the pieces themselves decide."""
+def _distinct(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(first, place, hashes)``: a piece of each distinct kind, the kind of
+    each piece ``raw[starts:stops]`` and the hash of each kind.  Kinds are
+    found by the hash and then compared byte by byte; where it fails, the
+    pieces themselves decide."""
     power, inverse = power_tables(raw.size)
     sums = np.zeros(raw.size + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power, out=sums[1:])
-    _, first, place = np.unique(mix((sums[stops] - sums[starts]) * inverse[starts]), return_index=True, return_inverse=True)
+    hashes = mix((sums[stops] - sums[starts]) * inverse[starts])
     del sums
+    kinds, first, place = np.unique(hashes, return_index=True, return_inverse=True)
     same = first[place]
     rest = np.flatnonzero(same != np.arange(starts.size))
     size = (stops - starts)[rest]
@@ -180,11 +261,12 @@ def _distinct(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[n
         within = np.arange(int(size.sum()), dtype=np.int32) - np.repeat((np.cumsum(size) - size).astype(np.int32), size)
         own = raw[np.repeat(starts[rest].astype(np.int32), size) + within]
         if (own == raw[np.repeat(starts[same[rest]].astype(np.int32), size) + within]).all():
-            return first, place
+            return first, place, kinds
     data = raw.tobytes()
-    kinds: dict[bytes, int] = {}
-    place = np.array([kinds.setdefault(data[a:b], len(kinds)) for a, b in zip(starts.tolist(), stops.tolist())])
-    return np.unique(place, return_index=True)[1], place
+    known: dict[bytes, int] = {}
+    place = np.array([known.setdefault(data[a:b], len(known)) for a, b in zip(starts.tolist(), stops.tolist())])
+    first = np.unique(place, return_index=True)[1]
+    return first, place, hashes[first]
 
 
 @lru_cache(maxsize=1)
@@ -235,7 +317,8 @@ def write_records(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return staged(ordered.mapInArrow(write, MANIFEST), "manifest")
+    # one row a shard, kept by the driver: the tasks write no file besides the records
+    return docs.sparkSession.createDataFrame(ordered.mapInArrow(write, MANIFEST).collect(), MANIFEST)
 
 
 def parse_record(data: bytes) -> tuple[int | None, np.ndarray]:

@@ -127,3 +127,39 @@ def test_equivalence_classes(spark):
     rows = [(k, f"https://h.example/{k}", page("T", "<p>x" + "<div class='odd'>y</div>" * (k % 2))) for k in range(4)]
     kept = {r.host: r for r in deduce_templates(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert "/html/body/main" in kept["h.example"].keep and "/html/body/nav" in kept["h.example"].drop
+
+
+def test_remembered_pieces_stay_within_their_bytes(monkeypatch):
+    """The arrays of one generation and what the encoder allocates in all, on
+    texts of ever new pieces; pieces of an equal hash stay apart."""
+    import tracemalloc
+
+    monkeypatch.setattr(tr, "REMEMBERED", 4 << 20)
+    monkeypatch.setattr(tr, "SEGMENT", 1 << 14)
+    encoder = tr.PieceEncoder(word_tokenizer())
+    texts = [" ".join(f"{(k * 500 + j) * 7919:x}" for j in range(500)) for k in range(400)]
+    list(encoder.texts(pa.array(texts[:20])))
+    tracemalloc.start()
+    for at in range(20, 400, 20):
+        list(encoder.texts(pa.array(texts[at:at + 20])))
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert encoder.known.nbytes + encoder.before.nbytes < 1.5 * tr.REMEMBERED and kept < 1.5 * tr.REMEMBERED
+    assert [x.tolist() for x in encoder.texts(pa.array(texts[:3]))] == expected_ids(texts[:3])
+
+    raw = np.frombuffer(b"abcdef", np.uint8)
+    known = tr.Pieces(np.dtype("<u2"))
+    starts, sizes, hashes = np.array([0, 2, 4]), np.array([2, 2, 2]), np.array([5, 5, 9], np.uint64)
+    assert known.add(raw, sizes, hashes, np.arange(3), np.ones(3, int)).tolist() == [0, 1, 2]
+    assert known.find(raw, starts, sizes, hashes).tolist() == [0, -1, 2]
+    assert known.find(raw, starts, np.array([1, 2, 1]), hashes).tolist() == [-1, -1, -1]
+
+
+def test_python_workers_build_small_batches():
+    from cohortlens.llm.common import pieces_of
+    from cohortlens.llm.jaccard_join import _signer
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(1200)), "text": [f"text {k}" for k in range(1200)]})
+    assert [b.num_rows for b in pieces_of(iter([batch, batch.slice(0, 0)]))] == [512, 512, 176]
+    signed = list(_signer(5, 2, 2)(iter([batch])))
+    assert max(b.num_rows for b in signed) == 512 and pa.Table.from_batches(signed).column("doc_id").to_pylist() == list(range(1200))
