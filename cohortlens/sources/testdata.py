@@ -109,11 +109,25 @@ def campaigns(supplier: DataFrame) -> DataFrame:
         _case(k % 3, [(0, "General"), (1, "New Users")], F.lit("Chronic Care")).alias("TargetSegment"))
 
 
+#: Rows of ``lineitem`` a task of the responses' aggregation takes.
+ROWS_PER_PART = 500_000
+MAX_PARTS = 65_536
+
+
 def responses(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
+    """One row per (customer, supplier).  Parts that are cut by their bytes hold
+    millions of these narrow rows, and a consumer that groups by the pair keeps
+    hash tables of its own over the same part; so where the rows exceed
+    ``ROWS_PER_PART`` a task they are dealt by pair into parts of about that
+    many, which such consumers take over without a shuffle."""
     li = lineitem.select("l_orderkey", "l_suppkey", "l_quantity", "l_discount", "l_returnflag")
     o = orders.select("o_orderkey", "o_custkey")
-    return (li.join(o, li.l_orderkey == o.o_orderkey)
-            .groupBy(F.col("o_custkey").alias("User_ID"), F.col("l_suppkey").alias("Campaign_ID"))
+    rows = li.join(o, li.l_orderkey == o.o_orderkey)
+    spark = lineitem.sparkSession
+    parts = min(MAX_PARTS, -(-lineitem.count() // ROWS_PER_PART))
+    if parts > min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))):
+        rows = rows.repartition(parts, "o_custkey", "l_suppkey")
+    return (rows.groupBy(F.col("o_custkey").alias("User_ID"), F.col("l_suppkey").alias("Campaign_ID"))
             .agg(F.max(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("ResponseFlag"),
                  F.max("l_discount").alias("CTR"),
                  F.sum("l_quantity").cast("bigint").alias("EngagementCount")))
